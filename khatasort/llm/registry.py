@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of the operators; each has NAME, query(spark, sf_dir) and ORACLE_SQL (None where SQL can't say it).
-MODULES = ("simhash", "mixing", "compression", "toxicity", "rules", "decontaminate", "htmltext", "warc")
+MODULES = ("simhash", "mixing", "compression", "chat", "toxicity", "rules", "decontaminate", "htmltext", "warc")
 
 
 def _modules() -> list:
