@@ -177,11 +177,13 @@ def grams(column: Column) -> Column:
 
     def of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        runs = [
-            F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-            for n in fixed.GRAM_LENGTHS
-        ]
-        return F.concat(F.array(F.concat(F.lit("w:"), word)), *runs)
+        none = F.array().cast("array<string>")
+
+        def runs(n: int) -> Column:
+            found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substr(padded, i, F.lit(n)))
+            return F.when(F.length(padded) >= n, found).otherwise(none)
+
+        return F.concat(F.array(F.concat(F.lit("w:"), word)), *map(runs, fixed.GRAM_LENGTHS))
 
     return F.flatten(F.transform(words(column), of))
 

@@ -248,7 +248,7 @@ def classify_native(rows: DataFrame, overrides: DataFrame | None = None, learned
     return ready.select(*extra, "verdict.category", "verdict.source", "verdict.confidence", "verdict.needs_review", F.col("kind.txn_type").alias("txn_type"), F.col("norm").alias("normalized_merchant"), "verdict.evidence")
 
 
-def verdict_json(rows: DataFrame) -> Column:
+def verdict_json() -> Column:
     """A verdict as JSON with camel-case names."""
     return F.to_json(
         F.struct(
