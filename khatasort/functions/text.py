@@ -90,7 +90,7 @@ def opaque(column: Column) -> Column:
 
 def commercial(column: Column) -> Column:
     """Any word is a commercial one."""
-    known = F.array(*(F.lit(w) for w in vocabulary.load().commercial))
+    known = vocabulary.commercial_words()
     return F.arrays_overlap(words(F.lower(text(column))), known)
 
 
@@ -102,7 +102,7 @@ def plain_words(column: Column) -> Column:
 
 def person(column: Column) -> Column:
     """The shape of a person's name: 2 to 5 words of letters, none commercial."""
-    known = F.array(*(F.lit(w) for w in vocabulary.load().commercial))
+    known = vocabulary.commercial_words()
     shape = lambda t: (F.size(t) >= 2) & (F.size(t) <= 5) & F.forall(t, lambda x: x.rlike(r"^\p{L}+$")) & ~F.arrays_overlap(F.transform(t, F.lower), known)
     return let(plain_words(column), shape)
 

@@ -69,16 +69,11 @@ def is_incoming(txn_type: Column) -> Column:
     return txn_type.isin("MONEY_RECEIVED", "REFUND")
 
 
-def rule_table() -> Column:
-    """The ordered rules as a literal array (folded once by the optimizer)."""
-    return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("pattern"), F.lit(c).alias("category"), F.lit(k == "token").alias("token")) for i, (p, c, k) in enumerate(vocabulary.load().rules)))
-
-
 def first_rule(norm: Column, canon: Column, ambiguous: Column) -> Column:
     """The first rule that the name meets: a token rule by a whole token of the key, a phrase rule inside the key or the plain text."""
     tokens = F.split(norm, " ")
     hit = lambda r: F.when(r["token"], F.array_contains(tokens, r["pattern"])).otherwise(norm.contains(r["pattern"]) | canon.contains(r["pattern"]))
-    return F.when((norm != "") & ~ambiguous, F.get(F.filter(rule_table(), hit), F.lit(0)))
+    return F.when((norm != "") & ~ambiguous, F.get(F.filter(vocabulary.rule_table(), hit), F.lit(0)))
 
 
 def directory_frame(spark) -> DataFrame:
@@ -87,8 +82,7 @@ def directory_frame(spark) -> DataFrame:
 
 
 def directory_hit(norm: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in vocabulary.load().directory for x in pair))
-    return F.try_element_at(table, norm)
+    return F.try_element_at(vocabulary.directory_map(), norm)
 
 
 def corpus(spark, learned: DataFrame | None = None) -> DataFrame:

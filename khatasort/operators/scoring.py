@@ -43,7 +43,7 @@ def read_labels(sheet: DataFrame, strict: bool = True) -> DataFrame:
 
 def labelled(rows: DataFrame, labels: DataFrame, train_keys: DataFrame | None = None) -> DataFrame:
     """Classified transactions that have a label, ready for the metrics."""
-    rows = keyed(rows).join(labels, ["key", "flow"])
+    rows = keyed(rows).drop("truth").join(labels, ["key", "flow"])
     if train_keys is None:
         rows = rows.withColumn("seen", F.lit(False))
     else:

@@ -186,6 +186,7 @@ select distinct a.norm, b.key from a join b on a.t = b.t where length(a.t) >= 4
         "classify_statement": p + f"select row_number, counterparty, {verdict} from classified",
         "classify_with_state": both + f"select row_number, {verdict} from classified",
         "user_rule_hits": both + f", hits as (select *, case when source = 'USER_OVERRIDE' or norm = '' then null {rule_cases} end as h from verdicts) select s.row_number, h[1] as category, 0.92::double as confidence, 'PAYMENT_TO_MERCHANT' as txn_type, 'user rule: ''' || h[2] || '''' as evidence from stmt s join hits v on s.idx = v.idx where h is not null",
+        "verdict_json": p + "select row_number, cast(to_json({'category': category, 'source': source, 'confidence': confidence, 'needsReview': needs_review, 'txnType': txn_type, 'normalizedMerchant': normalized_merchant, 'evidence': evidence}) as varchar) as verdict from classified",
         "fuzzy_corpus": f"with {oracle.vocabularies()}, {given} select coalesce(d.key, t.key) as key, coalesce(t.category, d.category) as category from directory d full outer join taught t on d.key = t.key",
         "fuzzy_anchor_pairs": names_sql,
         "model_gate": p

@@ -119,7 +119,7 @@ def oracle_sql() -> dict:
     learn = f"not needs_review and confidence >= 0.9 and source in {fixed.IDENTITY_SOURCES} and txn_type = 'PAYMENT_TO_MERCHANT'"
     return {
         "learned_state_scan": f"with {m} select normalized_name as key, category from merchants where normalized_name <> ''",
-        "active_rules": f"with r(id, pattern, match_kind, category, priority, enabled, note) as (values {', '.join(map(row, RULES))}) select id, pattern, category from r where enabled",
+        "active_rules": f"with r(id, pattern, match_kind, category, priority, enabled, note) as (values {', '.join(map(row, RULES))}) select id::bigint as id, pattern, category from r where enabled",
         "import_new_rows": p + ", n as (select row_number, case when row_number % 10 = 4 then '' when row_number % 10 = 5 then 'T' || (row_number - 1) else 'T' || row_number end as transaction_id from stmt), r as (select *, row_number() over (partition by transaction_id order by row_number) as i from n) select row_number, transaction_id from r where transaction_id = '' or (i = 1 and transaction_id not in (select transaction_id from stmt where row_number % 3 = 0))",
         "import_representative": p + ", k as (select row_number, counterparty, direction, is_credit, case when normalized_merchant <> '' then normalized_merchant else 'raw:' || counterparty end as memo from classified) select row_number, first_value(counterparty) over (partition by memo, is_credit, direction order by row_number) as representative from k",
         "import_batch": p + " select row_number as id, counterparty as raw_counterparty, normalized_merchant, amount, transaction_id, category, source, substr(evidence, 1, 200) as evidence, needs_review from classified where row_number % 3 <> 0",
