@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import fixed
 from .operators import cascade, ngram_model, profile, scoring
 from .operators.learning import Store
+from .shipping import ship
 from .sources import export
 from .sources.models import fetch
 from .sources.statement import UnresolvedHeaders, parse, read_files, read_statement, scan
@@ -23,7 +24,7 @@ class UserError(Exception):
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("khatasort").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return ship(SparkSession.builder.appName("khatasort").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
 
 
 def _store(args) -> Store:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 # The pool's counterparty, direction and credit flag, and the category that evaluation takes as the truth.
 POOL = (
     ("NEW SUNRISE DAILY AND GENERAL STORE", "Paid to", False, "GROCERIES"),
@@ -52,7 +54,7 @@ FUZZY_ROW = 32
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pool(spark: SparkSession) -> DataFrame:
