@@ -9,18 +9,26 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Words are runs of anything but ASCII white space (space, tab, newline, VT, FF, CR); bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read through Spark so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows in an Arrow batch at most: texts may be long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Make sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or a temporary one where it is unset."""
-    sc = spark.sparkContext
+    """Make the session ready: executors have the package, Arrow batches are bounded, and checkpoint() has a folder (the cluster's spark.checkpoint.dir, or a temporary one where it is unset)."""
+    sc = ship(spark).sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "khatasort-checkpoints"))

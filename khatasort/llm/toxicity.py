@@ -37,7 +37,7 @@ NAME = "op5_levenshtein_toxicity"
 ORACLE_SQL = None
 
 FOLDS, HELD = 5, 0
-MOST = 6000
+MOST = 4000
 LEAST_PREFIX, MOST_TERMS = 3, 2000
 WINDOW = 5
 QUOTED, REPORTED, ADDRESSED = 0.25, 0.4, 1.25
@@ -159,7 +159,7 @@ class Lexicon:
         """match() of a word as it stands in a text, remembered."""
         if raw in self.known:
             return self.known[raw]
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         if len(self.sets) > 100_000:
             self._prepare()
