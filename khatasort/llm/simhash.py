@@ -158,6 +158,16 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join on a long key that Spark can split where the left side is skewed.
+
+    The right side comes from an aggregation by the key, whose partitioning would be taken over and bind the left side to
+    it; joining on a reversible expression of the key gives both sides a shuffle of their own.
+    """
+    right = right.withColumnRenamed(key, "_right")
+    return left.join(right, F.col(key).bitwiseXOR(F.lit(1)) == F.col("_right").bitwiseXOR(F.lit(1))).drop("_right")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and label (its component's smallest node) for every node with a link, by large and small star contractions.
 
@@ -175,9 +185,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = split_join(both.where("v > u"), least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = split_join(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = pinned(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         after = mark(edges)
         if after == before:
@@ -195,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     label = components(links(distinct.select("fp")))
     named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = named.join(ids, "label").select("fp", "component_id")
+    named = split_join(named, ids, "label").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -197,7 +197,8 @@ def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     digest = F.concat(F.sha1(payload), F.lit(":"), F.sha2(payload, 256), F.lit(":"), F.octet_length("html").cast("string"))
     marks = pinned(rows.where(big).select("page_id", digest.alias("digest")))
     repeated = marks.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    named = marks.join(repeated, "digest").groupBy("page_id", "digest", "refers_to").agg(F.count("*").alias("times"))
+    repeated = repeated.withColumnRenamed("digest", "repeated_digest")  # reversed keys: the left side gets a shuffle of its own, which Spark splits where one payload is very common
+    named = marks.join(repeated, F.reverse("digest") == F.reverse("repeated_digest")).groupBy("page_id", "digest", "refers_to").agg(F.count("*").alias("times"))
     others = named.where("page_id <> refers_to or times > 1").select(F.col("page_id").alias("other_id"), F.col("digest").alias("other_digest"), "refers_to", (F.col("page_id") == F.col("refers_to")).alias("own"))
     others = pinned(others)
     found = rows.withColumn("digest", F.when(big, digest)).join(others, (F.col("page_id") == F.col("other_id")) & (F.col("digest") == F.col("other_digest")), "left")
