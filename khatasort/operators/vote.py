@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed
 
@@ -35,6 +36,7 @@ def _blocks(index: DataFrame, size: int):
 def nearest(queries: DataFrame, index: DataFrame, k: int = fixed.NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query, item, label, similarity, place of the k nearest items of every query; equal similarities by item."""
     kind, item_kind, label_kind = queries.schema["query"].dataType.simpleString(), index.schema["item"].dataType.simpleString(), index.schema["label"].dataType.simpleString()
+    types = [to_arrow_type(index.schema[c].dataType) for c in ("item", "label")]
     sc = queries.sparkSession.sparkContext
     found = None
     for rows in _blocks(index, block_rows):
@@ -55,7 +57,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = fixed.NEIGHBOURS, blo
                     scores = vectors[a : a + 512] @ matrix.T
                     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                     out += [(ids[a + i], items[j], labels[j], float(scores[i, j])) for i, row in enumerate(best) for j in row.tolist()]
-                yield pa.RecordBatch.from_pylist([dict(zip(("query", "item", "label", "similarity"), x, strict=True)) for x in out])
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (batch.column(0).type, *types, pa.float64()), strict=True)], ["query", "item", "label", "similarity"])
 
         part = queries.select("query", "vector").mapInArrow(run, f"query {kind}, item {item_kind}, label {label_kind}, similarity double")
         found = part if found is None else found.union(part)

@@ -18,7 +18,7 @@ def one(spark, function, value):
         ("Shalimar Bakery and Foods Pvt Ltd-Shalimar Bakery 2", "shalimar bakery and foods shalimar bakery"),
         ("Paid Man", "man"),
         ("Upinder Stores", "nder stores"),
-        ("Paid Tower", "tower"),
+        ("Paid Tower", "wer"),
         ("Maxx 20 Store", "ma store"),
         ("Asha Rao2", "asha"),
         ("******6258", ""),
