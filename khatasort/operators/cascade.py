@@ -19,9 +19,10 @@ VERDICT = ("category", "source", "confidence", "needs_review", "txn_type", "norm
 
 
 def named(rows: DataFrame, column: str = "counterparty") -> DataFrame:
-    """raw, norm, canon and d (the direction) beside the rows."""
-    rows = text.computed(rows, {"raw": text.stripped(F.col(column))})
-    made = {"norm": text.normalize_merchant(F.col("raw")), "canon": text.canon(F.col("raw"))}
+    """plain (the stripped text), norm, canon and d (the direction) beside the rows; own columns of these names give way."""
+    rows = rows.drop("plain", "norm", "canon", "d")
+    rows = text.computed(rows, {"plain": text.stripped(F.col(column))})
+    made = {"norm": text.normalize_merchant(F.col("plain")), "canon": text.canon(F.col("plain"))}
     if "direction" in rows.columns:
         made["d"] = text.direction(F.col("direction"))
     return text.computed(rows, made)
@@ -29,18 +30,18 @@ def named(rows: DataFrame, column: str = "counterparty") -> DataFrame:
 
 def flagged(rows: DataFrame) -> DataFrame:
     """Shapes and markers of named rows, each computed once."""
-    shape = F.coalesce(F.nullif(F.col("norm"), F.lit("")), F.col("raw"))
+    shape = F.coalesce(F.nullif(F.col("norm"), F.lit("")), F.col("plain"))
     return text.computed(
         rows,
         {
-            "is_opaque": text.opaque(F.col("raw")),
+            "is_opaque": text.opaque(F.col("plain")),
             "is_person": text.person(shape),
             "norm_commercial": text.commercial(shape),
             "canon_commercial": text.commercial(F.col("canon")),
-            "raw_commercial": text.commercial(F.col("raw")),
+            "raw_commercial": text.commercial(F.col("plain")),
             "is_ambiguous": text.ambiguous(F.col("norm"), F.col("canon")),
-            "has_income": text.income_marker(F.col("raw")),
-            "has_refund": text.refund_marker(F.col("raw")),
+            "has_income": text.income_marker(F.col("plain")),
+            "has_refund": text.refund_marker(F.col("plain")),
             "is_short": text.short_name(F.col("norm")),
         },
     )
@@ -56,7 +57,7 @@ def kind() -> Column:
         .when(text.starts_with_any(d, fixed.IN_VERBS), case("MONEY_RECEIVED", 0.99, "direction says received"))
         .when((d == "") & credit, case("MONEY_RECEIVED", 0.90, "positive amount"))
         .when(F.col("norm").isin(*fixed.SERVICE_LABELS) | d.isin(*fixed.BILL_VERBS), case("PAYMENT_TO_MERCHANT", 0.99, "service/bill label"))
-        .when(F.col("raw") == "", case("UNKNOWN", 0.0, "empty counterparty"))
+        .when(F.col("plain") == "", case("UNKNOWN", 0.0, "empty counterparty"))
         .when(F.col("is_opaque"), case("UNKNOWN", 0.60, "opaque/masked counterparty"))
         .when(F.col("norm_commercial") | F.col("canon_commercial"), case("PAYMENT_TO_MERCHANT", 0.95, "commercial keyword"))
         .when(F.col("is_person"), case("PAYMENT_TO_PERSON", 0.85, "person-name shape"))
@@ -141,7 +142,7 @@ def early() -> Column:
         F.when(F.col("override").isNotNull() & (F.col("norm") != ""), _verdict(text.coerce_category(F.col("override")), "USER_OVERRIDE", 1.0, F.concat(F.lit("user override on '"), F.col("norm"), F.lit("'"))))
         .when(t == "REFUND", _verdict("INCOME", "TXN_TYPE", 0.95, F.col("kind.type_reason")))
         .when(incoming, received)
-        .when(F.col("raw") == "", _verdict("OTHER", "FALLBACK", 0.0, "empty counterparty", True))
+        .when(F.col("plain") == "", _verdict("OTHER", "FALLBACK", 0.0, "empty counterparty", True))
         .when(F.col("directory").isNotNull(), _verdict(F.col("directory"), "EXACT_MERCHANT", fixed.EXACT, F.concat(F.lit("directory: '"), F.col("norm"), F.lit("'"))))
         .when(F.col("rule").isNotNull(), _verdict(F.col("rule.category"), "RULE", fixed.RULE, F.concat(F.lit("rule: '"), F.col("rule.pattern"), F.lit("'"))))
         .when(t == "PAYMENT_TO_PERSON", _verdict("PERSONAL_TRANSFER", "TXN_TYPE", 0.90, F.col("kind.type_reason")))
@@ -167,7 +168,7 @@ def late(fuzzy: bool, model: bool, vote: bool) -> Column:
     credit = F.coalesce(F.col("is_credit"), F.lit(False))
     out = (
         out.when(F.col("is_opaque"), _verdict("PERSONAL_TRANSFER", "FALLBACK", 0.70, "masked account/UPI handle", True))
-        .when(text.mobile_number(F.col("raw")), _verdict("PERSONAL_TRANSFER", "FALLBACK", 0.60, "bare mobile number, UPI to a person", True))
+        .when(text.mobile_number(F.col("plain")), _verdict("PERSONAL_TRANSFER", "FALLBACK", 0.60, "bare mobile number, UPI to a person", True))
         .when(~credit & F.col("is_short") & ~F.col("raw_commercial"), _verdict("PERSONAL_TRANSFER", "FALLBACK", 0.55, F.concat(F.lit("short non-commercial name, likely a person"), hint), True))
     )
     if vote:
@@ -205,6 +206,7 @@ def classify(
     function from a frame of distinct ``norm`` to the frame norm, prediction (category, probability).  vote: the same with
     neighbours (category, share, similarity, nearest).  user_rules: in priority order; they come after overrides.
     """
+    rows = rows.drop(*VERDICT)
     memo = rows.select(*MEMO).distinct()
     ready = prepared(memo, overrides, learned)
     if user_rules:
@@ -237,9 +239,10 @@ def classify(
 
 def classify_native(rows: DataFrame, overrides: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
     """classify() without fuzzy matching, model and vote: a projection, with joins only for learned state, and no distinct step."""
-    ready = text.computed(prepared(rows, overrides, learned), {"verdict": F.coalesce(early(), late(False, False, False))})
-    extra = [c for c in rows.columns]
-    return ready.select(*extra, "verdict.category", "verdict.source", "verdict.confidence", "verdict.needs_review", F.col("kind.txn_type").alias("txn_type"), F.col("norm").alias("normalized_merchant"), "verdict.evidence")
+    packed = rows.select(*MEMO, F.struct("*").alias("_row"))  # columns of any name stay apart from the computed ones
+    ready = text.computed(prepared(packed, overrides, learned), {"verdict": F.coalesce(early(), late(False, False, False))})
+    own = [F.col("_row")[c].alias(c) for c in rows.columns if c not in VERDICT]
+    return ready.select(*own, "verdict.category", "verdict.source", "verdict.confidence", "verdict.needs_review", F.col("kind.txn_type").alias("txn_type"), F.col("norm").alias("normalized_merchant"), "verdict.evidence")
 
 
 def verdict_json() -> Column:

@@ -50,7 +50,7 @@ def represented(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("memo", "is_credit", "direction").agg(F.min_by("counterparty", "row_number").alias("representative"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("memo", "is_credit", "direction")]
     first = first.toDF("_memo", "_is_credit", "_direction", "representative")
-    return rows.join(first, same).drop("_memo", "_is_credit", "_direction", "raw", "canon", "d")
+    return rows.join(first, same).drop("_memo", "_is_credit", "_direction", "plain", "norm", "memo", "canon", "d")
 
 
 def classified_import(rows: DataFrame, overrides: DataFrame, learned: DataFrame, rules: list, **layers) -> DataFrame:

@@ -19,7 +19,7 @@ class LabelError(ValueError):
 
 def keyed(rows: DataFrame) -> DataFrame:
     """key and flow beside the transactions."""
-    rows = named(rows)
+    rows = named(rows.drop("key", "flow"))
     rows = rows.withColumn("key", text.merchant_key(F.col("norm"), F.col("canon"), F.col("counterparty")))
     return rows.withColumn("flow", F.when(F.col("is_credit"), "IN").otherwise("OUT"))
 
