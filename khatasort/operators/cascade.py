@@ -239,9 +239,10 @@ def classify(
 
 def classify_native(rows: DataFrame, overrides: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
     """classify() without fuzzy matching, model and vote: a projection, with joins only for learned state, and no distinct step."""
-    packed = rows.select(*MEMO, F.struct("*").alias("_row"))  # columns of any name stay apart from the computed ones
-    ready = text.computed(prepared(packed, overrides, learned), {"verdict": F.coalesce(early(), late(False, False, False))})
-    own = [F.col("_row")[c].alias(c) for c in rows.columns if c not in VERDICT]
+    kept = [c for c in rows.columns if c not in VERDICT]
+    apart = rows.select(*MEMO, *(F.col(c).alias(f"_own_{i}") for i, c in enumerate(kept)))  # columns of any name stay apart from the computed ones
+    ready = text.computed(prepared(apart, overrides, learned), {"verdict": F.coalesce(early(), late(False, False, False))})
+    own = [F.col(f"_own_{i}").alias(c) for i, c in enumerate(kept)]
     return ready.select(*own, "verdict.category", "verdict.source", "verdict.confidence", "verdict.needs_review", F.col("kind.txn_type").alias("txn_type"), F.col("norm").alias("normalized_merchant"), "verdict.evidence")
 
 
