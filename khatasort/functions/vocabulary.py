@@ -60,8 +60,19 @@ def commercial_words() -> Column:
 
 
 def rule_table() -> Column:
-    """The ordered rules: array of (pattern, category, token)."""
-    return _literal([{"pattern": p, "category": c, "token": k == "token"} for p, c, k in load().rules], "array<struct<pattern:string,category:string,token:boolean>>")
+    """The ordered rules: array of (pattern, category)."""
+    return _literal([{"pattern": p, "category": c} for p, c, _ in load().rules], "array<struct<pattern:string,category:string>>")
+
+
+def token_rules() -> tuple[Column, Column]:
+    """The token rules' patterns, and each one's place among all rules."""
+    found = [(p, i) for i, (p, _, k) in enumerate(load().rules, start=1) if k == "token"]
+    return _literal([p for p, _ in found], "array<string>"), _literal([i for _, i in found], "array<int>")
+
+
+def phrase_rules() -> Column:
+    """The phrase rules: array of (place, pattern)."""
+    return _literal([{"place": i, "pattern": p} for i, (p, _, k) in enumerate(load().rules, start=1) if k == "phrase"], "array<struct<place:int,pattern:string>>")
 
 
 def directory_map() -> Column:

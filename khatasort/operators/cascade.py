@@ -71,10 +71,15 @@ def is_incoming(txn_type: Column) -> Column:
 
 
 def first_rule(norm: Column, canon: Column, ambiguous: Column) -> Column:
-    """The first rule that the name meets: a token rule by a whole token of the key, a phrase rule inside the key or the plain text."""
-    tokens = F.split(norm, " ")
-    hit = lambda r: F.when(r["token"], F.array_contains(tokens, r["pattern"])).otherwise(norm.contains(r["pattern"]) | canon.contains(r["pattern"]))
-    return F.when((norm != "") & ~ambiguous, F.get(F.filter(vocabulary.rule_table(), hit), F.lit(0)))
+    """The first rule that the name meets: a token rule by a whole token of the key, a phrase rule inside the key or the plain text.
+
+    Tokens are looked up in the list of token patterns; phrases are searched for in key and text at once.
+    """
+    patterns, places = vocabulary.token_rules()
+    by_token = F.array_min(F.transform(F.split(norm, " "), lambda t: F.nullif(F.array_position(patterns, t), F.lit(0).cast("long")))).cast("int")
+    by_phrase = text.let(F.concat(norm, F.lit("\n"), canon), lambda both: F.get(F.filter(vocabulary.phrase_rules(), lambda r: both.contains(r["pattern"])), F.lit(0)))
+    first = F.least(F.try_element_at(places, by_token), by_phrase["place"])
+    return F.when((norm != "") & ~ambiguous, F.try_element_at(vocabulary.rule_table(), first))
 
 
 def directory_frame(spark) -> DataFrame:

@@ -20,8 +20,8 @@ def state(spark, rows):
 
 
 def classified(spark, sf_dir):
-    """The derived statement with verdicts of the native layers."""
-    return cascade.classify_native(stmt(spark, sf_dir))
+    """The derived statement with verdicts of the native layers, each distinct counterparty judged once."""
+    return cascade.classify(stmt(spark, sf_dir), fuzzy=False)
 
 
 def txn_types(spark, sf_dir):
