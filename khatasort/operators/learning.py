@@ -60,11 +60,15 @@ def classified_import(rows: DataFrame, overrides: DataFrame, learned: DataFrame,
 
 
 def stored(classified: DataFrame, first_id: int = 1) -> DataFrame:
-    """Rows of TRANSACTIONS; ids follow the row numbers."""
+    """Rows of TRANSACTIONS; ids follow the row numbers, file by file where rows carry a path."""
+    if "path" in classified.columns:
+        files = classified.select("path").distinct().select(F.col("path").alias("_path"), (F.row_number().over(Window.orderBy("path")) - 1).alias("_file"))  # one row a file
+        classified = classified.join(files, F.col("path").eqNullSafe(F.col("_path")))
+        first_id = F.lit(first_id) + F.col("_file").cast("long") * (1 << 33)
     empty_as_null = lambda c: F.nullif(F.col(c), F.lit(""))
     raw = F.to_json("raw") if "raw" in classified.columns else F.lit(None).cast("string")
     return classified.select(
-        (F.col("row_number").cast("long") + first_id - 1).alias("id"), F.col("counterparty").alias("raw_counterparty"), F.col("direction").alias("raw_direction"), raw.alias("raw_row"), "normalized_merchant", "amount", "is_credit", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"),
+        (F.col("row_number").cast("long") - 1 + first_id).alias("id"), F.col("counterparty").alias("raw_counterparty"), F.col("direction").alias("raw_direction"), raw.alias("raw_row"), "normalized_merchant", "amount", "is_credit", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"),
         empty_as_null("transaction_id").alias("transaction_id"), empty_as_null("utr").alias("utr") if "utr" in classified.columns else F.lit(None).cast("string").alias("utr"), empty_as_null("account_last4").alias("account_last4") if "account_last4" in classified.columns else F.lit(None).cast("string").alias("account_last4"),
         "txn_type", "category", "confidence", "source", F.substring("evidence", 1, fixed.EVIDENCE_LENGTH).alias("evidence"), "needs_review",
     )

@@ -177,7 +177,7 @@ select distinct a.norm, b.key from a join b on a.t = b.t where length(a.t) >= 4
     model = "case when source = 'FALLBACK' and not is_opaque and not is_ambiguous and norm <> ''"
     hint = "'; model suggests ' || case when norm like 'bharat%' then 'PERSONAL_TRANSFER (p=0.99)' else 'TRAVEL (p=0.74)' end"
     ranked = oracle.strings(ngram_model.ORIGINS)
-    return {
+    found = {
         "txn_types": p + "select s.row_number, s.idx, v.txn_type, v.type_confidence, v.type_reason from stmt s join verdicts v on s.idx = v.idx",
         "override_hits": both + "select row_number, category, confidence, evidence from classified where source = 'USER_OVERRIDE'",
         "exact_directory": both + "select s.row_number, v.directory_ as category from stmt s join verdicts v on s.idx = v.idx",
@@ -213,6 +213,7 @@ best as (select *, row_number() over (partition by text order by rank desc, plac
 select text, label, origin, case when origin = 'override' then 3.0::double else 1.0::double end as weight from best where k = 1""",
         "fallback_rows": p + "select row_number, category, evidence from classified where source = 'FALLBACK' and not is_credit",
     }
+    return found | {"train_report": f"select origin, label, count(*) as n, sum(weight) as weight from ({found['training_set']}) group by origin, label"}
 
 
 def vocab_category(name: str) -> str:

@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from khatasort.operators.learning import Store
 from khatasort.streaming import ingest
@@ -32,6 +33,13 @@ def test_import_is_idempotent_and_learns_merchants_only(spark, store):
     assert diff["recategorized"] == 0 and diff["source_changed"] > 0 and diff["total"] == 7
 
 
+def test_ids_of_many_files_are_unique(spark, store):
+    files = rows(spark, *SOME[:3]).withColumn("path", F.lit("b")).unionByName(rows(spark, *SOME[3:]).withColumn("path", F.lit("a")))
+    store.import_transactions(files, **OFF)
+    ids = [r.id for r in store.table("transactions").orderBy("id").collect()]
+    assert len(set(ids)) == 6 and ids[0] == 2 and ids[3] > 1 << 33
+
+
 def test_corrections_apply_to_past_and_future(spark, store):
     store.import_transactions(rows(spark, *SOME), **OFF)
     assert store.record_correction("SUN KIRANA", "shopping") == {"updated": 3}
