@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -11,11 +12,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed
-from .operators import cascade, ngram_model, profile, scoring
+from .operators import cascade, ngram_model, profile, scoring, vote
 from .operators.learning import Store
 from .shipping import ship
 from .sources import export
-from .sources.models import fetch
+from .sources.models import fetch, provenance
 from .sources.statement import UnresolvedHeaders, parse, read_files, read_statement, scan
 
 
@@ -31,9 +32,26 @@ def _store(args) -> Store:
     return Store(session(), args.store)
 
 
+#: Values of KHATASORT_MODEL, KHATASORT_MINILM and KHATASORT_FUZZY that switch a layer off.
+OFF = ("0", "off", "false")
+
+
+def _on(layer: str) -> bool:
+    return os.environ.get(f"KHATASORT_{layer}", "").strip().lower() not in OFF
+
+
+def _embed(folder: str):
+    return lambda names: vote.embed_with_onnx(names, folder)
+
+
 def _layers(args) -> dict:
-    folder = getattr(args, "model", None)
-    return {"predict": ngram_model.model_layer(*ngram_model.load(session(), folder))} if folder else {}
+    """The layers that the arguments name and the environment leaves on."""
+    out = {} if _on("FUZZY") else {"fuzzy": False}
+    if (folder := getattr(args, "model", None)) and _on("MODEL"):
+        out["predict"] = ngram_model.model_layer(*ngram_model.load(session(), folder))
+    if (folder := getattr(args, "minilm", None)) and _on("MINILM"):
+        out["vote"] = vote.neighbour_layer(_embed(folder), vote.read_index(session(), f"{folder}/index"))
+    return out
 
 
 def _categorized(args, dedupe: bool):
@@ -94,6 +112,8 @@ def cmd_train(args) -> None:
     examples = ngram_model.training_set(rows, overrides, learned).persist()
     model, labels = ngram_model.fit(examples)
     ngram_model.save(model, labels, args.out)
+    if args.minilm:
+        vote.write_index(examples, _embed(args.minilm), f"{args.minilm}/index")
     report = {"examples": examples.count(), "labels": labels} | (ngram_model.cross_validated(examples).first().asDict() if args.cross_validate else {})
     print(json.dumps(report))
 
@@ -117,7 +137,7 @@ def cmd_evaluate(args) -> None:
     rows, labels = read_statement(session(), args.statement).rows, _labels(args.labels)
     seen = scoring.keyed(read_statement(session(), args.train).rows).select("key") if args.train else None
     found = scoring.labelled(cascade.classify(rows, overrides, learned, **_layers(args)), labels, seen).persist()
-    out = {"score": scoring.score(found).first().asDict(), "per_layer": [r.asDict() for r in scoring.per_layer(found).collect()], "per_category": [r.asDict() for r in scoring.per_category(found).collect()], "confusions": [r.asDict() for r in scoring.confusions(found).collect()], "silent_errors": [r.asDict() for r in scoring.silent_errors(found).limit(20).collect()]}
+    out = {"frozen": provenance(args.statement, args.labels), "score": scoring.score(found).first().asDict(), "per_layer": [r.asDict() for r in scoring.per_layer(found).collect()], "per_category": [r.asDict() for r in scoring.per_category(found).collect()], "confusions": [r.asDict() for r in scoring.confusions(found).collect()], "silent_errors": [r.asDict() for r in scoring.silent_errors(found).limit(20).collect()]}
     if seen is not None:
         out["seen_vs_new"] = [r.asDict() for r in scoring.score(found, "seen").collect()]
     print(json.dumps(out, indent=2))
@@ -145,6 +165,7 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--store", default="khatasort-store", help="folder of the learned state")
         if model:
             one.add_argument("--model", help="folder of a trained model")
+            one.add_argument("--minilm", help="folder of a sentence model and its index")
         one.set_defaults(run=run)
 
     arg = lambda *flags, **options: (flags, options)
@@ -158,7 +179,7 @@ def parser() -> argparse.ArgumentParser:
     add("correct", cmd_correct, arg("counterparty"), arg("category"))
     add("rule", cmd_rule, arg("pattern"), arg("category"), arg("--kind", choices=("phrase", "token"), default="phrase"), arg("--priority", type=int, default=100), arg("--note", default=""))
     add("reclassify", cmd_reclassify, model=True)
-    add("train", cmd_train, statement, out, arg("--cross-validate", action="store_true"))
+    add("train", cmd_train, statement, out, arg("--cross-validate", action="store_true"), arg("--minilm"))
     add("setup-minilm", cmd_setup_minilm, out, arg("--url", nargs="+", required=True), arg("--sha256", nargs="+", required=True), store=False)
     add("label-sheet", cmd_label_sheet, statement, out, store=False)
     add("evaluate", cmd_evaluate, statement, arg("labels"), arg("--train"), model=True)

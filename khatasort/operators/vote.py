@@ -93,6 +93,19 @@ def neighbour_layer(embed, index: DataFrame):
     return vote
 
 
+def write_index(examples: DataFrame, embed, folder: str) -> None:
+    """Embed the examples (text, label) that may be neighbours and write them as the index; none is an error."""
+    kept = index_rows(examples.select("text", "label")).dropDuplicates(["text"])
+    if kept.isEmpty():
+        raise ValueError("no example may be a neighbour")
+    vectors = embed(kept.select(F.col("text").alias("norm")))
+    kept.join(vectors, F.col("text") == F.col("norm")).select("text", "label", F.col("vector").alias("embedding")).write.mode("overwrite").parquet(folder)
+
+
+def read_index(spark, folder: str) -> DataFrame:
+    return spark.read.parquet(folder).select(F.col("text").alias("item"), "label", F.col("embedding").alias("vector"))
+
+
 def embed_with_onnx(names: DataFrame, folder: str, batch: int = 64, most_tokens: int = 64) -> DataFrame:
     """norm and vector by a sentence model (model.onnx and tokenizer.json in ``folder``): mean over tokens, length 1.  One session a task."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import subprocess
 import urllib.request
 from pathlib import Path
 
@@ -36,3 +37,10 @@ def fetch(url: str, folder: str, sha256: str) -> Path:
     finally:
         part.unlink(missing_ok=True)
     return target
+
+
+def provenance(*files: str) -> dict:
+    """What an evaluation ran on: the code's commit (None outside a repository) and the files' checksums."""
+    here = Path(__file__).resolve().parent
+    told = subprocess.run(["git", "-C", str(here), "describe", "--always", "--dirty"], capture_output=True, text=True, check=False)  # noqa: S603, S607
+    return {"code": told.stdout.strip() or None, "files": {Path(f).name: sha256_of(Path(f))[:12] for f in files if Path(f).is_file()}}

@@ -113,3 +113,15 @@ def test_trained_model_answers_its_examples(spark):
     got = {r.norm: r.prediction for r in ngram_model.predictions(model, labels, names).collect()}
     assert (got["kirana lal"].category, got["clinic lal"].category, got[""]) == ("GROCERIES", "HEALTH", None)
     assert ngram_model.cross_validated(examples, folds=3).first().accuracy > 0.6
+
+
+def test_index_is_written_without_people_and_read_back(spark, tmp_path):
+    examples = spark.createDataFrame([("blue clinic", "HEALTH"), ("asha verma", "PERSONAL_TRANSFER"), ("red hotel", "TRAVEL")], "text string, label string")
+    embed = lambda names: names.select("norm", F.array(F.length("norm").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    vote.write_index(examples, embed, str(tmp_path / "index"))
+    index = vote.read_index(spark, str(tmp_path / "index"))
+    assert sorted(r["item"] for r in index.collect()) == ["blue clinic", "red hotel"]
+    found = cascade.classify(pool(spark).where("idx = 24"), fuzzy=False, vote=vote.neighbour_layer(embed, index)).first()
+    assert "minilm suggests" in found.evidence or found.source == "SEMANTIC"
+    with pytest.raises(ValueError, match="no example"):
+        vote.write_index(examples.where("label = 'PERSONAL_TRANSFER'"), embed, str(tmp_path / "none"))
