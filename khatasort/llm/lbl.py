@@ -1,20 +1,21 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
 Tokens are the words of the text with A-Z in lower case, then one end.  The model predicts a token's class from the two
-tokens before it: the ``CLASSES`` - 2 most frequent words are classes of their own, the end is one, and all other words
-are one class together, inside which a word has its smoothed share.  With context vectors r, position matrices M1 and M2,
-target vectors q and biases b, the class scores are
+tokens before it: every word with ``WIDTH`` training tokens or more (as many as its vector has numbers) is a class of its
+own, so classes grow with the corpus; the end is one, and all rarer words are one class together, inside which a word has
+its smoothed share.  Classes are the leaves of a Huffman tree with ``BRANCH`` children a node.  With context vectors r,
+position matrices M1 and M2, and target vectors q and biases b of the tree's edges, an edge's score is
 
-    (M1 r[w1] + M2 r[w2]) . q[c] + b[c]
+    (M1 r[w1] + M2 r[w2]) . q[e] + b[e]
 
-normalised by softmax over all classes (one batched matrix product for the distinct contexts of a batch), so token
-probabilities sum to one over all words and one unseen word.
+normalised by softmax over the edges of its node; a class has the product along its path.  So token probabilities sum to
+one over all words and one unseen word, and a token's cost grows with the logarithm of the classes.
 
 Training.  The counts of all training tokens are gathered by word.  Every training text then trains the model: each task
-runs stochastic gradient steps over its own documents from a common start, with noise words drawn from the classes'
-shares and shared within a step, and the tasks' parameters are averaged by their tokens.  No text leaves its task.
+runs stochastic gradient steps over its own documents from a common start, with noise at each node of a target's path,
+and each vector is averaged over the tasks that met it by how often they did.  No text leaves its task.
 
-Scoring.  The most frequent words (at most ``HEAD``, told by a histogram of counts) are sent to the tasks with their
+Scoring.  The trained words (and more, up to ``HEAD``, told by a histogram of counts) are sent to the tasks with their
 counts; for the other words of a document, rows of document and word meet the counts in one join by word, and their
 logarithms are summed by document.  Rows are keyed by a number of their own, so repeated and null ids stay apart.
 
@@ -38,10 +39,17 @@ NAME = "op7_log_bilinear_model"
 ORACLE_SQL = None
 
 FOLDS, HELD = 7, 2
-CLASSES, WIDTH = 512, 16
-#: Words that are sent to all tasks at most; words that a task counts before it hands them on.
+#: Numbers in a word's vector; a word with as many training tokens is trained, and rarer ones share a class.
+WIDTH = 16
+#: Children of a node in the tree of words.
+BRANCH = 64
+#: Words that are sent to all tasks at most, unless more are trained; words that a task counts before it hands them on.
 HEAD, COUNTED = 1 << 18, 300_000
 STEP, NOISE, RATE = 1024, 48, 0.3
+#: Below the root: noise words for a token.  Of the vectors: step size and where AdaGrad's sums of squares begin.
+INNER_NOISE, ROW_RATE, ROW_PAST = 4, 0.1, 0.3
+#: Vectors that a task returns in one row.
+PART = 1 << 15
 #: The end's key among words; no word has a line end.
 END = "\n"
 #: Class numbers of the end and of all other words.
@@ -80,18 +88,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Tree:
+    """A Huffman tree of ``BRANCH`` children a node over items with given shares, for a softmax at every node of an item's path.
+
+    Edges are numbered so that a node's children are adjacent and the root's come first.
+    """
+
+    def __init__(self, shares: np.ndarray):
+        size = len(shares)
+        order = np.argsort(shares, kind="stable")
+        weight = shares[order].tolist()
+        merged: list[float] = []
+        parent = np.zeros(2 * size + 1, dtype=np.int64)
+        leaf = node = 0
+        take = min(size, (size - 2) % (BRANCH - 1) + 2)
+        while size - leaf + len(merged) - node > 1 or not merged:
+            total = 0.0
+            for _ in range(take):
+                if node == len(merged) or (leaf < size and weight[leaf] <= merged[node]):
+                    total += weight[leaf]
+                    parent[order[leaf]] = size + len(merged)
+                    leaf += 1
+                else:
+                    total += merged[node]
+                    parent[size + node] = size + len(merged)
+                    node += 1
+            merged.append(total)
+            take = BRANCH
+        elements = size + len(merged) - 1  # all but the root
+        parent = parent[:elements]
+        by_node = np.argsort(-parent, kind="stable")
+        edge_of = np.empty(elements, dtype=np.int32)
+        edge_of[by_node] = np.arange(elements)
+        _, first, count = np.unique(-parent[by_node], return_index=True, return_counts=True)
+        #: Of each edge: its node's first edge and number of children, and its share among them.
+        self.start, self.size = np.repeat(first, count).astype(np.int32), np.repeat(count, count).astype(np.int32)
+        mass = np.concatenate([shares, merged])[by_node]
+        self.share = mass / np.repeat(np.add.reduceat(mass, first), count)
+        #: Edges of every item: the root's, and those below it, padded with -1.
+        at, columns = np.arange(size), []
+        while True:
+            up = parent[at]
+            inner = up < elements
+            columns.append(edge_of[at])
+            if not inner.any():
+                break
+            at = np.where(inner, up, at)
+        self.top = columns[-1]
+        below = np.stack(columns, axis=1)
+        self.inner = np.where(self.start[below] > 0, below, -1)[:, :-1].copy()
+        self.top_size = int(count[0])
+
+
 class Network:
-    """The parameters of the log-bilinear model over classes."""
+    """The parameters of the log-bilinear model: a context vector for each item, and a target vector with a bias for each edge of the items' tree."""
 
-    def __init__(self, shares: np.ndarray, seed: int = 7):
+    def __init__(self, shares: np.ndarray, seed: int = 7, tree: Tree | None = None):
         rng = np.random.default_rng(seed)
-        size = len(shares)
-        self.r = rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32)
+        self.tree = tree or Tree(shares)
+        self.items = len(shares)
+        #: Items' context vectors (last column unused), then edges' target vectors and biases.
+        self.rows = rng.normal(0, 0.1, (self.items + len(self.tree.start), WIDTH + 1)).astype(np.float32)
+        self.rows[: self.items, WIDTH] = 0
+        self.rows[self.items :, WIDTH] = np.log(self.tree.share)
         self.m = np.stack([np.eye(WIDTH, dtype=np.float32)] * 2)
-        self.b = np.log(shares).astype(np.float32)
 
-    NAMES = ("r", "q", "m", "b")
+    NAMES = ("rows", "m")
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -104,64 +166,118 @@ class Network:
             at += old.size
         return self
 
-    def log_probabilities(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    def ahead(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The predicted vector, and 1 for the bias."""
+        out = np.ones((len(first), WIDTH + 1), dtype=np.float32)
+        out[:, :WIDTH] = self.rows[first, :WIDTH] @ self.m[0] + self.rows[second, :WIDTH] @ self.m[1]
+        return out
+
+    def log_probabilities(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, block: int = 1 << 12) -> np.ndarray:
         """Natural logarithms of P(target | first, second): first is the word before the target, second the one before that."""
-        size = len(self.b)
-        pairs, back = np.unique(first.astype(np.int64) * size + second, return_inverse=True)
-        one, two = self.r @ self.m[0], self.r @ self.m[1]
-        ahead = one[pairs // size] + two[pairs % size]
-        norm = np.empty(len(pairs), dtype=np.float32)
-        for i in range(0, len(pairs), block):
-            scores = ahead[i : i + block] @ self.q.T
-            scores += self.b
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            np.exp(scores, out=scores)
-            norm[i : i + block] = np.log(scores.sum(axis=1)) + top
-        own = np.einsum("ij,ij->i", ahead[back], self.q[target]) + self.b[target]
-        return own - norm[back]
-
-
-def _sum_by(rows: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
-    """Rows summed by number."""
-    order = np.argsort(where, kind="stable")
-    sorted_ = where[order]
-    starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
-    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    out[sorted_[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+        tree, edges = self.tree, self.rows[self.items :]
+        ahead = self.ahead(first, second)
+        top = tree.top[target]
+        out = np.einsum("ij,ij->i", ahead, edges[top])
+        for i in range(0, len(out), block):
+            out[i : i + block] -= _log_sum(ahead[i : i + block] @ edges[: tree.top_size].T)
+        for column in tree.inner.T:
+            edge = column[target]
+            held = np.flatnonzero(edge >= 0)
+            held = held[np.argsort(tree.start[edge[held]], kind="stable")]
+            edge, own = edge[held], ahead[held]
+            start, size = tree.start[edge], tree.size[edge]
+            score = np.einsum("ij,ij->i", own, edges[edge])
+            cuts = np.flatnonzero(np.diff(start, prepend=-1, append=-1))
+            few = np.ones(len(edge), dtype=bool)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if j - i >= 8:  # one product for a node's tokens
+                    few[i:j] = False
+                    score[i:j] -= _log_sum(own[i:j] @ edges[start[i] : start[i] + size[i]].T)
+            few = np.flatnonzero(few)
+            for i in range(0, len(few), 2048):
+                some = few[i : i + 2048]
+                children = np.arange(BRANCH)
+                scores = np.einsum("ij,ikj->ik", own[some], edges[np.minimum(start[some, None] + children, len(edges) - 1)], optimize=True)
+                scores[children >= size[some, None]] = -np.inf
+                score[some] -= _log_sum(scores)
+            out[held] += score
+        return out
+
+
+def _log_sum(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(axis=1)
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return np.log(scores.sum(axis=1)) + top
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad steps."""
-
-    def __init__(self, start: np.ndarray, shares: np.ndarray, seed: int):
-        self.net = Network(shares).fill(start)
-        self.shares = shares
-        self.log_noise = (np.log(shares) + math.log(NOISE)).astype(np.float32)  # of k times the noise distribution
+    """Noise-contrastive estimation by AdaGrad steps, at the root and at every node below it on a target's path.
+
+    The root's noise is drawn from its children's shares and shared within a step; below, where shares differ little,
+    each token has noise of its own, each child alike.
+    """
+
+    def __init__(self, start: np.ndarray, shares: np.ndarray, seed: int, tree: Tree | None = None):
+        self.net = Network(shares, tree=tree).fill(start)
+        tree = self.net.tree
+        self.share = tree.share[: tree.top_size]
+        self.log_noise = (np.log(self.share) + math.log(NOISE)).astype(np.float32)  # of k times the noise distribution
+        self.log_inner = np.log(INNER_NOISE / tree.size).astype(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.past = {k: np.full_like(getattr(self.net, k), 1e-2) for k in Network.NAMES}
+        self.past = np.full_like(self.net.rows, ROW_PAST)
+        self.past_m = np.full_like(self.net.m, 1e-2)
+        self.touched = np.zeros(len(self.net.rows), dtype=np.float32)
 
     def step(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> None:
-        net, n, size = self.net, len(target), len(self.shares)
-        noise = self.rng.choice(size, NOISE, p=self.shares)
-        r1, r2 = net.r[first], net.r[second]
-        ahead = r1 @ net.m[0] + r2 @ net.m[1]
-        q = net.q[target]
-        true = np.einsum("ij,ij->i", ahead, q) + net.b[target] - self.log_noise[target]
-        false = ahead @ net.q[noise].T + (net.b[noise] - self.log_noise[noise])
-        g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - P(data)
-        g_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        g_ahead = g_true[:, None] * q + g_false @ net.q[noise]
-        g_q = _sum_by(g_true[:, None] * ahead, target, size)
-        np.add.at(g_q, noise, g_false.T @ ahead)
-        g_b = np.bincount(target, g_true, size) + np.bincount(noise, g_false.sum(axis=0), size)
-        g_r = _sum_by(g_ahead @ net.m[0].T, first, size) + _sum_by(g_ahead @ net.m[1].T, second, size)
-        g_m = np.stack([r1.T @ g_ahead, r2.T @ g_ahead])
-        for k, g in (("r", g_r), ("q", g_q), ("m", g_m), ("b", g_b)):
-            g = g.astype(np.float32) / n
-            self.past[k] += g * g
-            getattr(net, k).__iadd__(RATE * g / np.sqrt(self.past[k]))
+        net, tree, n = self.net, self.net.tree, len(target)
+        edges = net.rows[net.items :]
+        noise = self.rng.choice(tree.top_size, NOISE, p=self.share)
+        ahead = net.ahead(first, second)
+        top = tree.top[target]
+        q = edges[top]
+        g_true = _missing(np.einsum("ij,ij->i", ahead, q) - self.log_noise[top])
+        g_false = _missing(self.log_noise[noise] - ahead @ edges[noise].T)
+        g_ahead = g_true[:, None] * q - g_false @ edges[noise]
+        ids, grads = [top, noise], [g_true[:, None] * ahead, -g_false.T @ ahead]
+        for column in tree.inner.T:
+            edge = column[target]
+            held = np.flatnonzero(edge >= 0)
+            if not len(held):
+                continue
+            edge, own = edge[held], ahead[held]
+            wrong = tree.start[edge, None] + (self.rng.random((len(held), INNER_NOISE), dtype=np.float32) * tree.size[edge, None]).astype(np.int32)
+            wrong = np.minimum(wrong, (tree.start[edge] + tree.size[edge] - 1)[:, None])
+            q, q_wrong = edges[edge], edges[wrong]
+            log_noise = self.log_inner[edge]
+            g_true = _missing(np.einsum("ij,ij->i", own, q) - log_noise)
+            g_false = _missing(log_noise[:, None] - np.matmul(q_wrong, own[:, :, None])[:, :, 0])
+            g_ahead[held] += g_true[:, None] * q - np.matmul(g_false[:, None, :], q_wrong)[:, 0]
+            ids += [edge, wrong.ravel()]
+            grads += [g_true[:, None] * own, (-g_false[:, :, None] * own[:, None, :]).reshape(-1, WIDTH + 1)]
+        g_ahead = g_ahead[:, :WIDTH]
+        r1, r2 = net.rows[first, :WIDTH], net.rows[second, :WIDTH]
+        g_context = np.zeros((2 * n, WIDTH + 1), dtype=np.float32)
+        g_context[:n, :WIDTH], g_context[n:, :WIDTH] = g_ahead @ net.m[0].T, g_ahead @ net.m[1].T
+        where = np.concatenate([*(x + net.items for x in ids), first, second])
+        rows = np.concatenate([*grads, g_context])
+        order = np.argsort(where)
+        where = where[order]
+        starts = np.flatnonzero(np.diff(where, prepend=-1))
+        own = where[starts]
+        g = np.add.reduceat(rows[order], starts, axis=0)
+        self.touched[own] += np.diff(starts, append=len(where))
+        past = self.past[own] + g * g
+        self.past[own] = past
+        net.rows[own] += ROW_RATE * g / np.sqrt(past)
+        g = np.stack([r1.T @ g_ahead, r2.T @ g_ahead]) / n
+        self.past_m += g * g
+        net.m += RATE * g / np.sqrt(self.past_m)
+
+
+def _missing(x: np.ndarray) -> np.ndarray:
+    """1 less the logistic function."""
+    return 1 / (1 + np.exp(np.clip(x, -30, 30)))
 
 
 def contexts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,13 +295,14 @@ def contexts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 class Vocabulary:
     """The head words with counts, their classes, and the figures of all training tokens."""
 
-    def __init__(self, head: list[tuple[str, int]], total: int, distinct: int, classes: int = CLASSES):
+    def __init__(self, head: list[tuple[str, int]], total: int, distinct: int, classes: int | None = None):
         self.end_count = next((n for w, n in head if w == END), 0)
         ranked = sorted(((w, n) for w, n in head if w != END), key=lambda x: (-x[1], x[0]))
         self.words = [w.encode() for w, _ in ranked]
         self.total, self.distinct = total, distinct
         self.counts = np.array([n for _, n in ranked], dtype=np.int64)
-        own = min(len(ranked), classes - 2)
+        own = int((self.counts >= WIDTH).sum()) if classes is None else min(len(ranked), classes - 2)
+        self.own = own
         self.classes = np.full(len(ranked) + 1, OTHER_CLASS, dtype=np.int32)  # one more for words outside the head
         self.classes[:own] = np.arange(2, own + 2)
         self.other_total = max(0, total - self.end_count - int(self.counts[:own].sum()))
@@ -198,7 +315,7 @@ class Vocabulary:
 
 
 def head_of(counts: DataFrame, most: int | None = None) -> list[tuple[str, int]]:
-    """The most frequent words, as many as a histogram of 16 bins a doubling shows to fit into ``most``, and the end."""
+    """The end, all words with ``WIDTH`` tokens or more, and as many more of the most frequent as a histogram of 16 bins a doubling shows to fit into ``most``."""
     bin_of = F.floor(F.log2("n") * 16)
     bins = sorted(((r["bin"], r["k"]) for r in counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("k")).collect()), reverse=True)
     held, least = 0, None
@@ -206,7 +323,7 @@ def head_of(counts: DataFrame, most: int | None = None) -> list[tuple[str, int]]
         if held + k > (most or HEAD) - 1:
             break
         held, least = held + k, b
-    wanted = F.col("word") == END
+    wanted = (F.col("word") == END) | (F.col("n") >= WIDTH)
     if least is not None:
         wanted = wanted | (bin_of >= least)
     return [(r.word, r["n"]) for r in counts.where(wanted).collect()]
@@ -214,10 +331,14 @@ def head_of(counts: DataFrame, most: int | None = None) -> list[tuple[str, int]]
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
     """A pass of every training text over the tasks, averaged, ``rounds`` times."""
-    net = Network(vocabulary.shares)
+    tree = Tree(vocabulary.shares)
+    net = Network(vocabulary.shares, tree=tree)
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((vocabulary.words[: CLASSES - 2], vocabulary.shares))
-    rows = docs.where(fold(F.col("doc_id"), FOLDS) != HELD).select("text")
+    sent = sc.broadcast((vocabulary.words[: vocabulary.own], vocabulary.shares, tree))
+    # A task for each core: every task returns vectors for the words it met, so more tasks would only add copies.
+    rows = docs.where(fold(F.col("doc_id"), FOLDS) != HELD).select("text").coalesce(max(1, sc.defaultParallelism))
+    schema = "part int, ids binary, weights binary, vectors binary"
+    names = ["part", "ids", "weights", "vectors"]
     for number in range(rounds):
         start = sc.broadcast(net.flat())
 
@@ -225,9 +346,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
             import pyarrow as pa
             from pyspark import TaskContext
 
-            words, shares = sent.value
+            words, shares, tree = sent.value
             class_of = {w: i + 2 for i, w in enumerate(words)}.get
-            trainer = Trainer(start.value, shares, 1000 * number + TaskContext.get().partitionId())
+            trainer = Trainer(start.value, shares, 1000 * number + TaskContext.get().partitionId(), tree)
             waiting: list[np.ndarray] = []
             held = seen = 0
 
@@ -250,22 +371,41 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
             if held:
                 seen += learn()
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([trainer.net.flat()], pa.list_(pa.float32()))], ["n", "values"])
+                parts = [(-1, np.arange(1), np.array([seen]), trainer.net.m)]
+                for part in range(0, len(trainer.touched), PART):
+                    ids = np.flatnonzero(trainer.touched[part : part + PART]) + part
+                    parts.append((part // PART, ids, trainer.touched[ids], trainer.net.rows[ids]))
+                for part, ids, weights, vectors in parts:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int32), weights.astype(np.float32), vectors))], names
+                    )
 
         def add(batches):
             import pyarrow as pa
 
-            total, n = 0.0, 0
+            sums: dict = {}
             for batch in batches:
-                for k, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    total = total + k * values.values.to_numpy().astype(np.float64)
-                    n += k
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32)], pa.list_(pa.float32()))], ["n", "values"])
-
-        summed = rows.mapInArrow(run, "n long, values array<float>").repartition(8).mapInArrow(add, "n long, values array<float>").collect()
-        if summed:
-            net.fill(sum(r["n"] * np.array(r["values"]) for r in summed) / sum(r["n"] for r in summed))
+                for part, *found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    ids, weights, vectors = np.frombuffer(found[0], np.int32), np.frombuffer(found[1], np.float32), np.frombuffer(found[2], np.float32)
+                    vectors, own = vectors.reshape(len(ids), -1), ids - max(part, 0) * PART
+                    if part not in sums:
+                        size = 1 if part < 0 else PART
+                        sums[part] = np.zeros(size), np.zeros((size, vectors.shape[1] if len(ids) else WIDTH + 1))
+                    total, summed = sums[part]
+                    total[own] += weights
+                    summed[own] += weights[:, None] * vectors
+            for part, (total, summed) in sums.items():
+                own = np.flatnonzero(total)
+                out = (own + max(part, 0) * PART).astype(np.int32), total[own].astype(np.float32), (summed[own] / total[own, None]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names)
+
+        for r in rows.mapInArrow(run, schema).repartition(8, "part").mapInArrow(add, schema).toLocalIterator():
+            vectors = np.frombuffer(r.vectors, np.float32)
+            if r.part < 0:
+                net.m = vectors.reshape(net.m.shape).copy()
+            else:
+                net.rows[np.frombuffer(r.ids, np.int32)] = vectors.reshape(-1, WIDTH + 1)
+        start.unpersist()
     return net
 
 

@@ -66,3 +66,30 @@ def test_nulls_repeats_empty_and_extra_columns(spark):
     assert sorted(((r.doc_id or 0, r.n_tokens, r.n_known) for r in got)) == sorted(key(w) for w in want)
     assert {r.train_tokens for r in got} == {n} and all(math.isfinite(r.score) for r in got)
     assert lbl.scored(docs.limit(0)).collect() == []
+
+
+def test_tree_probabilities_sum_to_one_over_many_words():
+    shares = 1 / np.arange(1, 6001)
+    net = lbl.Network(shares / shares.sum())
+    assert net.tree.inner.shape[1] >= 1
+    every = np.arange(6000)
+    for a in (0, 1, 5999):
+        p = np.exp(net.log_probabilities(np.full(6000, a), np.full(6000, 7), every).astype(float))
+        assert abs(p.sum() - 1) < 1e-4
+    one = [net.log_probabilities(np.array([3]), np.array([7]), np.array([t]))[0] for t in (0, 700, 5999)]
+    assert np.allclose(one, net.log_probabilities(np.full(6000, 3), np.full(6000, 7), every)[[0, 700, 5999]], atol=1e-4)
+
+
+def test_every_word_with_enough_tokens_is_learned(spark):
+    # Each word has one follower, so the model has to know all of them; 510 classes and one for the rest can't.
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(3000):
+        at = rng.integers(0, 1500)
+        texts.append(" ".join(f"w{(at + i) % 1500}" for i in range(60)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    counts = Counter(w for t in texts for w in t.split())
+    vocabulary = lbl.Vocabulary([*counts.items(), (lbl.END, 3000)], 183_000, 1501)
+    assert set(vocabulary.classes[:1500].tolist()) == set(range(2, 1502))
+    rows = lbl.scored(docs).collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.2 * sum(r.n_tokens for r in rows)
