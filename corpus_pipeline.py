@@ -5,11 +5,11 @@ all but the last return the columns of ``documents``:
 
 1. toxicity: documents that the lexicon automaton predicts to be toxic go (labels come from the data folder);
 2. quality rules: documents that the weakly supervised rules reject go;
-3. SimHash near-duplicates: of each component, the document with the smallest id stays;
+3. SimHash near-duplicates: of each component, the document with the smallest id stays (any one, if no document has an id);
 4. benchmark decontamination: contaminated documents go;
 5. mixing: the rest becomes the training stream, a row for each pass over a document, in order of position.
 
-Documents without doc_id go through stages 1, 2, 4 and 5 like any other; stage 3 drops them, as no component is named by them.
+Documents without doc_id, or with the same one, go through all stages like any other.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,11 @@ def blobs(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text, null as the empty text: a key of rows whose id is null or repeated."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def clipped(number: float, low: float, high: float) -> float:
     return max(low, min(high, number))
 

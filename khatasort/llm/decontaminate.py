@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, pinned, table
+from .common import blobs, digest_of, pinned, table
 
 NAME = "op8_benchmark_decontamination"
 
@@ -256,6 +256,13 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows whose text isn't contaminated.  A verdict depends on the text alone and is applied by it, so null and repeated ids are judged like any other."""
+    keyed = docs.select(digest_of(F.col("text")).alias("doc_id"), "text")
+    bad = judged(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, digest_of(docs["text"]) == bad["_bad"], "left_anti").select(*docs.columns)
+
+
 def digest(names) -> str:
     return hashlib.sha256(",".join(names).encode()).hexdigest()
 

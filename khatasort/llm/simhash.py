@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, pinned, table
+from .common import blobs, digest_of, pinned, table
 
 NAME = "op1_simhash_near_dedup"
 ORACLE_SQL = None
@@ -210,10 +210,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row whose doc_id is the component's id (of repeated rows, one)."""
-    found = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    """One document of each component: the one with the smallest doc_id, or, where all are null, one of those (of repeated rows, one).
+
+    Rows are told apart by id and text, so a text never answers for another one with its id.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest_of(F.col("text")).alias("digest"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).where("doc_id <=> component_id")
+    found = found.select(F.col("doc_id.id").alias("_kept_id"), F.col("doc_id.digest").alias("_kept_digest")).distinct()
+    rows = docs.withColumn("_digest", digest_of(F.col("text")))
+    kept = rows.join(found, rows["doc_id"].eqNullSafe(found["_kept_id"]) & (rows["_digest"] == found["_kept_digest"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

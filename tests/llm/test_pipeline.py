@@ -54,3 +54,14 @@ def test_stages_take_odd_tables(spark):
             out = stage(spark, table, FOLDER)
             assert name == "mixing" or out.columns == docs.columns
             out.collect()
+
+
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    unique = ["alpha beta gamma delta", "one two three four five", "red green blue white black"]
+    rows = [(None, unique[0]), (7, unique[1]), (7, unique[2]), (3, "q r s t u v w"), (None, "q r s t u v w"), (None, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in p.drop_copies(spark, docs, FOLDER).collect()), key=str)
+    assert kept == sorted([(None, unique[0]), (7, unique[1]), (7, unique[2]), (3, "q r s t u v w"), (None, "x y z")], key=str)
+    bench = spark.createDataFrame([(1, unique[0]), (2, unique[2])], "item_id long, text string")
+    clean = sorted(((r.doc_id, r.text) for r in decontaminate.clean_rows(docs, bench).collect()), key=str)
+    assert clean == sorted([x for x in rows if x[1] not in (unique[0], unique[2])], key=str)
