@@ -84,18 +84,25 @@ def _keys(spark, sf_dir):
     return cascade.corpus(spark).withColumn("place", F.col("place").cast("long")).unionByName(parts).dropDuplicates(["key"])
 
 
+def _all_keys(spark, sf_dir):
+    """The directory and the names of all parts, as known merchants; the directory's category holds."""
+    built = cascade.corpus(spark).select("key", "category")
+    parts = cascade.named(read(spark, sf_dir, "part").select(F.col("p_name").alias("counterparty"))).where("norm <> ''").select(F.col("norm").alias("key"), F.lit("SHOPPING").alias("category")).distinct()
+    return built.unionByName(parts.join(built, "key", "left_anti"))
+
+
 def fuzzy_anchor_pairs(spark, sf_dir):
     return similarity.anchor_pairs(_names(spark, sf_dir), _keys(spark, sf_dir))
 
 
 def fuzzy_near_tokens(spark, sf_dir):
     words = _names(spark, sf_dir).select(F.explode(F.split("norm", " ")).alias("w")).distinct()
-    keys = cascade.directory_frame(spark).select(F.explode(F.split("key", " ")).alias("w")).distinct()
+    keys = _all_keys(spark, sf_dir).select(F.explode(F.split("key", " ")).alias("w")).distinct()
     return similarity.near_tokens(words.withColumnRenamed("w", "a"), keys.withColumnRenamed("w", "b"))
 
 
 def fuzzy_scores(spark, sf_dir):
-    return similarity.scored_pairs(cascade.named(pool(spark)).select("norm").distinct(), cascade.corpus(spark)).select("norm", "key", "score")
+    return similarity.scored_pairs(_names(spark, sf_dir), _all_keys(spark, sf_dir)).select("norm", "key", "score")
 
 
 def fuzzy_matches(spark, sf_dir):
