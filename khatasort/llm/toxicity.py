@@ -37,7 +37,7 @@ NAME = "op5_levenshtein_toxicity"
 ORACLE_SQL = None
 
 FOLDS, HELD = 5, 0
-MOST = 4000
+MOST = 6000
 LEAST_PREFIX, MOST_TERMS = 3, 2000
 WINDOW = 5
 QUOTED, REPORTED, ADDRESSED = 0.25, 0.4, 1.25

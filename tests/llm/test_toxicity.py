@@ -81,3 +81,10 @@ def test_nulls_repeats_empty_and_extra_columns(spark):
     assert t.scored(docs.limit(0), lexicon).collect() == []
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
     assert t.lexicon_of(docs, labels).terms == {} and t.lexicon_of(docs, labels.limit(0)).terms == {}
+
+
+def test_lexicon_learns_from_up_to_6000_labelled_texts(monkeypatch):
+    asked = []
+    monkeypatch.setattr(t, "labelled_sample", lambda *a: asked.append(a[-1]) or [])
+    monkeypatch.setattr(t, "learn", lambda texts: texts)
+    assert t.lexicon_of(None, None) == [] and asked == [6000]
