@@ -1,23 +1,32 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree of elements.  Scripts, styles and other elements without prose, and page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments; told by tag, role, class or id) are set aside with
-all they hold.  For every other node the characters-per-tag density is adjusted by its links:
+A page is read into a tree of elements, in which only scripts, styles, controls and markup are without text.  The
+characters-per-tag density of every node is adjusted by its links:
 
-    density = (C / T) * log(C * T / (L * K)) / log(log(C * L / N + C * n / B + e))
+    density = (C / T) * log(C * T / (L * K)) / log(log(C * L / N + C * l / c + e))
 
-with C characters and T tags below the node, L characters and K tags of links, N = C - L, and L, C of the body as n, B;
-counts of 0 divide as 1, and the divisor is at least 1.  A node's density sum adds its children's densities.  The node of the largest density sum is
-found first; the smallest density on the path from it up to the body is the page's threshold.  The main text is then the
-subtree of the largest density sum among the nodes at or above the threshold, widened to an enclosing <article> or
-<main>: text of the selected subtree is never dropped, however short its paragraphs are.
+with C characters and T tags below the node, L characters and K tags of links, N = C - L, and l, c the L and C of the
+body; counts of 0 divide as 1, and the divisor is at least 1.  A node's density sum adds the densities of its children
+(a node without children has its own).
+
+Choice.  Of the nodes outside page furniture, the one with the largest density sum is found.  The body's density is the
+threshold of the path from there up: the text is the topmost node on the path that every step up to it reaches at or above
+the threshold, so more paragraphs are taken in and menus aren't; where the body holds several such nodes of one tag, the
+body.  A page with little text has its largest sum at the
+body; then the choice goes down while just one child holds nearly all text outside furniture and is at the threshold.
+An <article> or <main> with less than half its text in links counts as at the threshold; it is no answer by itself.
+
+Furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) is told by tag, by role, or, for
+containers only, by a class or id that is as a whole one of NAMES, unless it holds the page's <main>, <article> or <h1>.  Inside the chosen
+node furniture is left out, and so are containers of links: two or more, four fifths of the characters, a density below the threshold.
+No other text of the chosen node is dropped, whatever its class and however short.
 
 Blocks.  Character references are decoded; block elements end a block; white space inside a block becomes one space and
 is trimmed; blocks are joined in page order by one newline; <br> counts as white space.
 
 Defined cases: null and empty pages, and pages without prose, give an empty text; pages cut off anywhere are read to
-their end; unclosed and stray tags are tolerated; a page whose body is text without elements is that text; repeated rows
-are kept; other columns are ignored; an empty table gives an empty result.
+their end; a tag with an unpaired quote ends at its first '>'; unclosed and stray tags are tolerated; a page whose body
+is text without elements is that text; repeated rows are kept; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,24 +51,26 @@ BLOCKS = frozenset(
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 STOPS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",), "p": ("td", "th", "table", "button", "body")}
+#: Elements whose content is never read as text.
+SILENT = frozenset("head script style noscript template svg math canvas object iframe audio video select option button input textarea datalist map".split())
 
 #: Elements nested deeper become siblings, as in browsers; their texts stay.
 DEEPEST = 512
-
-# Fixed values of page furniture.
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog head script style noscript template svg math canvas object iframe audio video select option button input textarea label datalist map".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail footer masthead topbar cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond replies reviews related recommended pagination pager toolbar widget widgets copyright legal disclaimer search skip".split()
+#: Share of a container's characters in links that makes it a list of links, and of a body's text that one child must hold to stand for it.
+LINKED, NEARLY_ALL = 0.8, 0.9
+
+# Fixed values of page furniture: tags, roles, and whole class names or ids (of containers).
+TAGS = frozenset("nav footer aside form menu dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+CONTAINERS = frozenset("div section ul ol dl table td header center details fieldset span".split())
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs comment-list comments comments-area commentlist consent cookie cookie-banner cookie-consent cookie-notice cookies disqus-thread footer main-menu main-nav masthead menu nav navbar navigation newsletter notice notices notification notifications page-footer page-header pager pagination popup promo promotion related-articles related-posts respond share share-buttons sharing sidebar site-footer site-header skip-link social social-links sponsored subscribe toolbar topbar widget widgets".split()
 )
-ASIDE_PAIRS = ("site-header", "page-header", "site-footer", "skip-link")
-KEEP_TAGS = frozenset(("html", "body", "main"))
-LAYOUT_WORDS = frozenset(("with", "without", "has", "no", "layout"))
+CHOSEN = ("article", "main")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>|<[A-Za-z/!?][^>]*\Z", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_NAME = re.compile(r"\S+")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</[^>]*>|<[A-Za-z/!?][^>]*\Z", re.S)
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
@@ -72,35 +83,34 @@ class Node:
         self.depth: int = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
 
+    def below(self) -> list[Node]:
+        return [x for x in self.children if isinstance(x, Node) and x.tag not in SILENT]
+
+    def path(self):
+        """The node and those that it is in."""
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
 
 def _furniture(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in ASIDE_TAGS:
+    if tag in TAGS:
         return True
-    if tag == "header" and not _within(parent, "article", "main"):
+    if tag == "header" and not any(x.tag in CHOSEN for x in parent.path()):
         return True
-    if tag in KEEP_TAGS or not attributes:
+    if tag in ("html", "body", "main") or not attributes:
         return False
-    for m in _NAMED.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key == "role" and value.lower() in ASIDE_ROLES:
+        if key == "role" and value in ROLES:
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "style" and _UNSEEN.search(value):
             return True
-        if key in ("class", "id"):
-            for name in _NAME.findall(value):
-                parts = [x.lower() for x in _PART.findall(name)]
-                if name.lower().replace("_", "-") in ASIDE_PAIRS or any(x in ASIDE_WORDS for x in parts) and not any(x in LAYOUT_WORDS for x in parts):
-                    return True
-    return False
-
-
-def _within(node: Node | None, *tags: str) -> bool:
-    while node is not None:
-        if node.tag in tags:
+        if key in ("class", "id") and tag in CONTAINERS and not NAMES.isdisjoint(value.replace("_", "-").split()):
             return True
-        node = node.parent
     return False
 
 
@@ -116,19 +126,18 @@ def parse(page: str) -> Node:
         if not m:
             break
         place = m.end()
-        if not (tag := m[2]):
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not tag:
             continue
         tag = tag.lower()
-        if m[1]:  # an end tag closes its element and what is open inside; a stray one closes nothing
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.parent
+        if closing:  # an end tag closes its element and what is open inside; a stray one closes nothing
+            node = next((x for x in at.path() if x.tag == tag), None)
             if node is not None and node.parent is not None:
                 at = node.parent
             elif tag == "p":
                 at.children.append(Node("p", at))
             continue
-        if tag == "html" or tag == "body" and _within(at, "body"):
+        if tag == "html" or tag == "body" and any(x.tag == "body" for x in at.path()):
             continue
         if tag in ENDS_P:
             at = _closed(at, ("p",), STOPS["p"])
@@ -136,58 +145,51 @@ def parse(page: str) -> Node:
             at = _closed(at, IMPLIED[tag], STOPS[tag])
         if tag == "body":
             at = root
-        node = Node(tag, at, _furniture(tag, m[3], at))
+        node = Node(tag, at, _furniture(tag, attributes, at))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, place)
-            if tag != "title" and end is None and tag in ("textarea",):
-                node.children.append(page[place:])
             place = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
+        elif tag not in VOID and not attributes.endswith("/") and node.depth < DEEPEST:
             at = node
     _spare(root)
     return root
 
 
 def _spare(root: Node) -> None:
-    """A wrapper named like furniture that holds the page's <main>, <article> or <h1> isn't furniture."""
+    """A wrapper that is furniture by its name and holds the page's <main>, <article> or <h1> is none."""
     todo: list[tuple[Node, list[Node]]] = [(root, [])]
     while todo:
         node, named = todo.pop()
-        if node.aside and (node.tag in ASIDE_TAGS or node.tag == "header"):
+        if node.aside and (node.tag in TAGS or node.tag == "header"):
             continue
         if not node.aside and named and node.tag in ("main", "article", "h1"):
             for x in named:
                 x.aside = False
-        below = [*named, node] if node.aside else named
-        todo += [(x, below) for x in node.children if isinstance(x, Node)]
+        held = [*named, node] if node.aside else named
+        todo += [(x, held) for x in node.below()]
 
 
 def _closed(at: Node, ends: tuple, stops: tuple) -> Node:
     """Where parsing goes on if an open element of ``ends``, inside the nearest of ``stops``, is closed."""
-    node, out = at, at
-    while node is not None and node.tag not in stops and node.parent is not None:
+    out = at
+    for node in at.path():
+        if node.tag in stops or node.parent is None:
+            break
         if node.tag in ends:
             out = node.parent
-        node = node.parent
     return out
 
 
-def _ordered(root: Node) -> list[Node]:
-    """The nodes that count, each before its children."""
-    out, todo = [], [root]
+def score(root: Node) -> list[Node]:
+    """Fill in density and density sum of every node with text; each comes before its children."""
+    nodes, todo = [], [root]
     while todo:
         node = todo.pop()
-        out.append(node)
-        todo += [x for x in reversed(node.children) if isinstance(x, Node) and not x.aside]
-    return out
-
-
-def score(root: Node) -> list[Node]:
-    """Fill in density and density sum of the nodes that count."""
-    nodes = _ordered(root)
+        nodes.append(node)
+        todo += reversed(node.below())
     for node in reversed(nodes):
-        own = [x for x in node.children if isinstance(x, Node) and not x.aside]
+        own = node.below()
         node.chars = sum(len(" ".join(x.split())) for x in node.children if isinstance(x, str)) + sum(x.chars for x in own)
         node.tags = len(own) + sum(x.tags for x in own)
         node.link_chars = node.chars if node.tag == "a" else sum(x.link_chars for x in own)
@@ -196,50 +198,50 @@ def score(root: Node) -> list[Node]:
     share = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c == 0:
-            node.density = 0.0
-        else:
-            base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
-            node.density = max(0.0, c / t * math.log(c * t / (lc * lt)) / max(1.0, math.log(base)))
-        node.sum = sum(x.density for x in node.children if isinstance(x, Node) and not x.aside) or node.density
+        base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
+        node.density = max(0.0, c / t * math.log(c * t / (lc * lt)) / max(1.0, math.log(base))) if c else 0.0
+        own = [x for x in node.below() if not x.aside]
+        node.sum = sum(x.density for x in own) if own else node.density
     return nodes
 
 
-def select(root: Node) -> Node | None:
-    """The subtree that holds the main text."""
+def select(root: Node) -> tuple[Node | None, float]:
+    """The node that holds the main text, and the path's threshold."""
     nodes = score(root)
-    full = [x for x in nodes if x.chars > 0]
-    if not full:
-        return None
-    best = max(full, key=lambda x: x.sum)
-    low, node = best.density, best
-    while node is not None and node.tag not in ("body", "html"):
-        low = min(low, node.density)
-        node = node.parent
-    best = max((x for x in full if x.density >= low), key=lambda x: x.sum)
-    node, named = best, None
-    while node is not None:
-        if node.tag in ("article", "main"):
-            named = node
-        node = node.parent
-    if named is None and best.tag in ("body", "html"):
-        inside = [x for x in full if x.tag in ("article", "main")]
-        named = max(inside, key=lambda x: x.chars, default=None)
-    if named is None:
-        while best.tag not in BLOCKS and best.parent is not None:  # never a part of a block
-            best = best.parent
-        while best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "dd", "dt", "td", "tr", "tbody") and best.parent is not None:
-            best = best.parent  # a paragraph alone is a part of the text
-        while best.parent is not None and best.parent.tag not in ("body", "html"):  # nor is one of several like sections
-            like = [x for x in best.parent.children if isinstance(x, Node) and not x.aside and x.chars and x.tag in BLOCKS]
-            if not any(x.tag == best.tag and x is not best for x in like) or any(x.link_chars > 0.3 * x.chars for x in like):
-                break
+    body = next((x for x in nodes if x.tag == "body"), root)
+    threshold = body.density
+    reaches = lambda x: x.density >= threshold or x.tag in CHOSEN and 2 * x.link_chars < x.chars
+    outside, full = {id(root)}, []
+    for x in nodes:  # those not in furniture
+        if x is root or id(x.parent) in outside and not x.aside:
+            outside.add(id(x))
+            if x.chars:
+                full.append(x)
+    best = max(full, key=lambda x: x.sum, default=None)
+    if best is None:
+        return None, threshold
+    if any(x is body for x in best.path()):
+        while best is not body and best.parent is not body and reaches(best.parent):
             best = best.parent
-    return named or best
+        if best is not body and not reaches(best):  # a line of its own
+            best = body if best.tag not in BLOCKS or best.tag == "p" else best
+        if best.parent is body and any(x is not best and x.tag == best.tag and not x.aside and reaches(x) and 2 * x.link_chars < x.chars for x in body.below() if x.chars):
+            best = body  # one of several like parts
+    while True:
+        own = [x for x in best.below() if not x.aside and x.chars]
+        lone = sum(len(" ".join(x.split())) for x in best.children if isinstance(x, str))
+        one = [x for x in own if reaches(x) and x.tag in BLOCKS and x.tag not in ("p", "h1")]
+        if best.tag not in ("body", "html") or len(one) != 1 or lone or one[0].chars < NEARLY_ALL * sum(x.chars for x in own):
+            return best, threshold
+        best = one[0]
+
+
+def _links_only(node: Node, threshold: float) -> bool:
+    return node.tag in CONTAINERS and node.link_tags > 1 and node.link_chars >= LINKED * node.chars and node.density < threshold
 
 
-def text_of(node: Node) -> str:
-    """The subtree's blocks, joined by newlines."""
+def text_of(node: Node, threshold: float = 0.0) -> str:
+    """The node's blocks, without furniture and lists of links, joined by newlines."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -259,7 +261,7 @@ def text_of(node: Node) -> str:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif not x.aside or x is node:
+        elif x is node or x.tag not in SILENT and not x.aside and not _links_only(x, threshold):
             if x.tag in BLOCKS:
                 end()
                 todo.append(None)
@@ -271,9 +273,8 @@ def text_of(node: Node) -> str:
 def main_text(page: str) -> str:
     if not page:
         return ""
-    root = parse(page)
-    node = select(root)
-    return text_of(node) if node else ""
+    node, threshold = select(parse(page))
+    return text_of(node, threshold) if node else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
