@@ -1,20 +1,22 @@
 """Quality rules as weak supervision.
 
-Each rule votes that a text is good (+1) or bad (-1), or abstains (0).  Bad texts come in kinds, one for each rule that is
-made to see it; the rules vote independently of each other given the class (good, or a kind of bad).  Expectation-
-maximisation over the votes of all documents estimates the classes' shares and how often each rule's vote is right in
-each class; the posterior probability that a text is good then decides, in place of a rule that all rules be met.
+Each rule votes that a text is good (+1) or bad (-1), or abstains (0).  Rules are strict on purpose: they overlap, they
+contradict each other, and most good texts that have a repeated line or an abbreviation get some bad vote.  Bad texts come in two
+kinds, repetition and noise (KINDS says which kind a rule was written for).  The rules vote independently of each other
+given the class (good, or a kind of bad).  Expectation-maximisation over the votes of all documents that pass the base
+rule estimates the classes' shares and how often each rule's vote is a bad one in each class, hence its accuracies; the posterior
+probability that a text is good then decides, in place of a rule that all rules be met.
+
+What tells the classes apart is a prior worth ``PRIOR`` = 2 votes a figure, from which the iteration begins: a rule votes bad on one good text in
+ten, on seven of ten texts of its own kind, on three of ten of the other.  There are no bounds; what the
+votes say outweighs the prior from a handful of texts on.  No labels are used.
 
 The votes of a document are one number in base 3, so the corpus is summed up as counts of vote patterns: at most
 3 ** len(RULES) rows, however many documents there are.  That table is what the driver fits; texts stay where they are.
 
-Two bounds fix which class is which: a rule's bad vote on a good text is wrong in at most 5 of 1000 votes that it casts there, and a rule
-sees at least 80 in 100 of its own kind.  A few pseudo-votes smooth all figures, so a handful of documents gives
-sensible ones too.
-
-Defined cases: null texts have no words; texts without words fail the base rule and get all-abstain or bad votes;
-repeated rows are judged each, alike; null doc_ids are kept as they are; other columns are ignored (``kept_rows`` passes
-all columns on); an empty table gives an empty result.
+Defined cases: null texts have no words; texts without words fail the base rule and get a bad vote for their length; repeated rows are
+judged each, alike; null doc_ids are kept as they are; other columns are ignored (``kept_rows`` passes
+all columns on); without texts that pass the base rule the model is its prior; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blobs, pinned, table
@@ -32,7 +34,7 @@ ORACLE_SQL = None
 
 SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lettered", "n_distinct", "n_shouted", "top_count")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lettered", "n_distinct", "top_count")
 _NO_LETTER = bytes(b for b in range(0x80) if not chr(b).isalpha())
 
 
@@ -41,7 +43,7 @@ def features(blob: bytes) -> tuple[int, ...]:
     words = blob.split()
     n = len(words)
     if not n:
-        return (0, 0, len(blob) - len(blob.translate(None, SYMBOLS)), 0, 0, 0, 0, 0, 0, 0, 0)
+        return (0, 0, len(blob) - len(blob.translate(None, SYMBOLS)), 0, 0, 0, 0, 0, 0, 0)
     chars = len(b"".join(words).translate(None, _CONTINUED))
     symbols = len(blob) - len(blob.translate(None, SYMBOLS))
     lines = [x for x in blob.split(b"\n") if x.strip()]
@@ -57,27 +59,30 @@ def features(blob: bytes) -> tuple[int, ...]:
     counts = Counter(words)
     upper = sum(c for w, c in counts.items() if len(w) > 1 and w.isupper())
     lettered = sum(c for w, c in counts.items() if w.translate(None, _NO_LETTER))
-    shouted = sum(c for w, c in counts.items() if w.endswith(b"!"))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, lettered, len(counts), shouted, max(counts.values())
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, lettered, len(counts), max(counts.values())
 
 
-def _band(value: float, bad: bool, good: bool) -> int:
+def _vote(bad: bool, good: bool) -> int:
     return -1 if bad else 1 if good else 0
 
 
-#: name -> vote of (n, chars, symbols, dup_lines, repeats, lines, upper, lettered, distinct, shouted, top); n is at least 1.
+#: name -> vote of (n, chars, symbols, dup_lines, repeats, lines, upper, lettered, distinct, top); n is at least 1.
 RULES = {
-    "length": lambda n, *_: _band(n, n < 10, 50 <= n <= 100_000),
-    "word_length": lambda n, c, *_: _band(c, not 2 <= c / n <= 14, 3 <= c / n <= 11),
-    "symbols": lambda n, c, s, *_: _band(s, s > 0.1 * n, s <= 0.02 * n),
-    "duplicate_lines": lambda n, c, s, d, r, k, *_: _band(d, k >= 5 and d > 0.3 * k, d == 0 and k > 1),
-    "repeated_words": lambda n, c, s, d, r, *_: _band(r, r > 0.2 * n, r <= 0.05 * n and n >= 20),
-    "capitals": lambda n, c, s, d, r, k, u, *_: _band(u, u > 0.3 * n, u <= 0.05 * n),
-    "letters": lambda n, c, s, d, r, k, u, a, *_: _band(a, a < 0.7 * n, a >= 0.95 * n),
-    "variety": lambda n, c, s, d, r, k, u, a, v, *_: _band(v, 20 <= n and v < 0.15 * min(n, 1000), 20 <= n and v >= 0.4 * min(n, 1000)),
-    "shouting": lambda n, c, s, d, r, k, u, a, v, x, *_: _band(x, x > 0.2 * n, x <= 0.02 * n),
-    "top_word": lambda n, c, s, d, r, k, u, a, v, x, t: _band(t, n >= 10 and t > 0.25 * n, n >= 10 and t <= 0.15 * n),
+    "length": lambda n, *_: _vote(n < 20, n >= 50),
+    "word_length": lambda n, c, *_: _vote(not 3.5 <= c / n <= 7, 4 <= c / n <= 6),
+    "symbols": lambda n, c, s, *_: _vote(s > 0.05 * n, s <= 0.01 * n),
+    "duplicate_lines": lambda n, c, s, d, r, k, *_: _vote(d > 0, k > 1),
+    "repeated_words": lambda n, c, s, d, r, *_: _vote(r > 0, n >= 20),
+    "capitals": lambda n, c, s, d, r, k, u, *_: _vote(u > 0.005 * n, u == 0),
+    "letters": lambda n, c, s, d, r, k, u, a, *_: _vote(a < 0.9 * n, a >= 0.98 * n),
+    "variety": lambda n, c, s, d, r, k, u, a, v, *_: _vote(n >= 20 and v < 0.6 * min(n, 1000), n >= 20 and v >= 0.7 * min(n, 1000)),
+    "line_length": lambda n, c, s, d, r, k, *_: _vote(n < 12 * k, n >= 20 * k),
+    "top_word": lambda n, c, s, d, r, k, u, a, v, t: _vote(n >= 20 and t > 0.1 * n, n >= 20 and t <= 0.07 * n),
 }
+#: The kind of bad text that each rule was written for.
+KINDS = {"repetition": ("duplicate_lines", "repeated_words", "variety", "top_word"), "noise": ("length", "word_length", "symbols", "capitals", "letters", "line_length")}
+#: The prior: how many votes a figure is worth, the share of good texts, and a rule's chance of a bad vote on good texts, on its own kind, on the other.
+PRIOR, GOOD_SHARE, ON_GOOD, ON_OWN, ON_OTHER = 2.0, 0.7, 0.1, 0.7, 0.3
 
 
 def votes(found: tuple[int, ...]) -> tuple[int, ...]:
@@ -96,28 +101,26 @@ def failed(found: tuple[int, ...]) -> bool:
     return found[0] < 10 or 100 * found[4] > 20 * found[0]
 
 
-def fit(counts: dict[int, int], rounds: int = 300, least_accuracy: float = 0.995) -> dict:
+def prior() -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes (good first), and each rule's chance of a bad vote in each class."""
+    shares = np.array([GOOD_SHARE, *[(1 - GOOD_SHARE) / len(KINDS)] * len(KINDS)])
+    return shares, np.array([[ON_GOOD] * len(RULES), *([ON_OWN if name in own else ON_OTHER for name in RULES] for own in KINDS.values())])
+
+
+def fit(counts: dict[int, int], rounds: int = 500) -> dict:
     """Shares of good texts and of each kind of bad ones, and each rule's chance of a bad vote on them when it votes, from counts of vote patterns."""
     m = len(RULES)
     keys = np.array(sorted(counts), dtype=np.int64)
     n = np.array([counts[k] for k in keys.tolist()], dtype=float)
     v = np.stack([keys // 3**j % 3 - 1 for j in range(m)], axis=1) if len(keys) else np.zeros((0, m), dtype=int)
     up, down = (v == 1).astype(float), (v == -1).astype(float)
-    shares = np.array([0.8, *[0.2 / m] * m])
-    bad_vote = np.full((m + 1, m), 0.1)  # row 0: on good texts; row k: on bad texts of the kind that rule k - 1 is made for
-    bad_vote[0] = 1 - least_accuracy
-    bad_vote[np.arange(1, m + 1), np.arange(m)] = 0.9
-    start = bad_vote.copy()
+    first_shares, first = prior()
+    shares, bad_vote = first_shares, first
     for _ in range(rounds):
-        chance = _classes(v, shares, bad_vote)
-        mass = chance * n[:, None]
-        cast, bad = mass.T @ (up + down), mass.T @ down
+        mass = _classes(v, shares, bad_vote) * n[:, None]
         before = bad_vote
-        bad_vote = np.clip((bad + 10 * start) / (cast + 10), 0.001, 0.999)
-        bad_vote[0] = np.minimum(bad_vote[0], 1 - least_accuracy)
-        own = np.arange(m)
-        bad_vote[own + 1, own] = np.maximum(bad_vote[own + 1, own], 0.8)
-        shares = (mass.sum(axis=0) + np.array([4.0, *[1.0 / m] * m])) / (n.sum() + 5)
+        bad_vote = (mass.T @ down + PRIOR * first) / (mass.T @ (up + down) + PRIOR)
+        shares = (mass.sum(axis=0) + PRIOR * first_shares) / (n.sum() + PRIOR)
         if np.abs(before - bad_vote).max() < 1e-9:
             break
     return {"shares": shares, "bad_vote": bad_vote}
@@ -158,20 +161,24 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{x} long' for x in FEATURES)}, votes int")
 
 
+def failed_base() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def pattern_counts(rows: DataFrame) -> dict[int, int]:
-    """At most 3 ** len(RULES) numbers."""
-    return {r.votes: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    """Documents that pass the base rule by vote pattern: at most 3 ** len(RULES) numbers."""
+    return {r.votes: r["n"] for r in rows.where(~failed_base()).groupBy("votes").agg(F.count("*").alias("n")).collect()}
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the base figures, votes, posterior, base_failed and kept of every document."""
+    """doc_id, the base figures, votes, posterior (null where the base rule fails), base_failed and kept of every document."""
     rows = pinned(measured(docs))
     counts = pattern_counts(rows)
     model = fit(counts)
     chances = docs.sparkSession.createDataFrame([(k, posterior(model, k)) for k in sorted(counts)], "votes int, posterior double")  # a row a pattern that occurs
-    rows = rows.join(F.broadcast(chances), "votes", "left")
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return rows.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("posterior") >= 0.5))
+    rows = rows.withColumn("base_failed", failed_base()).join(F.broadcast(chances), "votes", "left")
+    rows = rows.withColumn("posterior", F.when(~F.col("base_failed"), F.col("posterior")))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= 0.5))
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
