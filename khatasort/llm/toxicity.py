@@ -1,7 +1,8 @@
 """Toxicity by a lexicon trie that is intersected with Levenshtein automata.
 
 The lexicon is learned from labelled texts: whole words, and stems that stand for all words they begin, which occur in
-toxic texts far more often than chance and hardly in clean ones.  Its trie is intersected with the automaton of all words
+toxic texts far more often than chance and hardly in clean ones; a stem may also occur in clean ones if toxic ones have it
+many times as often.  Its trie is intersected with the automaton of all words
 within a few edits of a term (insertions, deletions, replacements, neighbours swapped): the product is made
 deterministic state by state as words ask for it, so a word costs one step a letter and most die after a few letters.
 Short terms and stems match as they are, terms of 5 letters or more within 1 edit, of 9 or more within 2.
@@ -9,10 +10,10 @@ Short terms and stems match as they are, terms of 5 letters or more within 1 edi
 Each hit counts with its term's log-odds, a misspelled one with those of its edits in the labelled texts: edits that clean
 texts have as often as toxic ones count nothing.  A window of words about the hit separates quotation from abuse:
 between quotation marks or next to words of reporting it counts for less, next to an address for more.  The sum over
-a text is mapped to a score by a logistic curve fitted on the labelled texts.
+a text, in all and in a hundred words, is mapped to a score by a logistic curve fitted on the labelled texts.
 
 The labelled sample for fitting is bounded by ``most`` rows (the ids with the smallest md5), near copies in it count once,
-and every document is scored whole.  Labels, lang, source and doc_id are no inputs of a score.
+and every document is scored whole.  Terms, window and quotations have no other bounds.  Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts have no hits; without labels of both kinds, or without a term that passes, the
 lexicon is empty and all scores are the share of toxic labels, at most 0.25; repeated rows score alike; other columns
@@ -38,14 +39,17 @@ ORACLE_SQL = None
 
 FOLDS, HELD = 5, 0
 MOST = 6000
-LEAST_PREFIX, MOST_TERMS = 3, 2000
+LEAST_PREFIX = 3
+#: A term that clean texts have as well: how many times more often it must stand in toxic ones (as a logarithm), less so many standard errors.
+LEAST_RATIO, ERRORS = 2.0, 5.0
 WINDOW = 5
 QUOTED, REPORTED, ADDRESSED = 0.25, 0.4, 1.25
 
 # Fixed word lists of the context window.
 REPORTING = frozenset("said says say wrote writes written quote quotes quoted quoting called calls word words term terms phrase slur insult definition means meaning dictionary translated mot terme signifie wort begriff bedeutet palabra significa".split())
 ADDRESS = frozenset("you your youre you're yours u ur yourself du dich dein tu te toi vous eres tú".split())
-QUOTES = "\"'«»„“”‘’‹›`"
+#: Marks that open a quotation, and those that close it.
+QUOTES = {'"': '"', "'": "'", "`": "`'", "«": "»", "„": "“”", "“": "”", "‘": "’", "‹": "›"}
 
 _RUN = re.compile(r"(.)\1{2,}")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -59,7 +63,7 @@ def normal(word: str) -> str:
 class Lexicon:
     """Terms with weights; a stem ends in '*'.  fuzzy: the weight of a match with edits, by term."""
 
-    def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, curve: tuple[float, float] = (2.0, -3.0)):
+    def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, curve: tuple[float, float, float] = (2.0, 0.0, -3.0)):
         self.terms, self.fuzzy, self.curve = terms, fuzzy or {}, curve
         self._prepare()
 
@@ -170,11 +174,15 @@ class Lexicon:
 
     def evidence(self, text: str) -> float:
         """The weighted hits of a whole text."""
+        return self.figures(text)[0]
+
+    def figures(self, text: str) -> tuple[float, int]:
+        """The weighted hits of a whole text, and its words."""
         words = text.lower().split()
         look, known = self.look, self.known
         hits = {w for w in set(words) if (known[w] if w in known else look(w)) is not None}
         if not hits:
-            return 0.0
+            return 0.0, len(words)
         total = 0.0
         inside = quoted(words)
         for i, w in enumerate(words):
@@ -182,23 +190,28 @@ class Lexicon:
                 term, edits = self.look(w)
                 weight = self.terms[term] if not edits else self.fuzzy.get(term, 0.0)
                 total += weight * context(words, i, inside[i])
-        return total
+        return total, len(words)
 
     def score(self, text: str) -> float:
-        a, b = self.curve
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.log1p(self.evidence(text)) + b))))
+        a, b, c = self.curve
+        sum_of, rate = inputs(*self.figures(text))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * sum_of + b * rate + c))))
+
+
+def inputs(evidence: float, n_words: int) -> tuple[float, float]:
+    """What the curve sees: a text's weighted hits in all, and in a hundred words."""
+    return math.log1p(evidence), math.log1p(100 * evidence / max(1, n_words))
 
 
 def quoted(words: list[str]) -> list[bool]:
-    """For each word whether it stands in a quotation that opens and closes within 40 words."""
+    """For each word whether it stands in a quotation: from a word that begins with an opening mark to the next that ends with its closing mark."""
     out = [False] * len(words)
-    opened = -1
+    opened, closing = -1, ""
     for i, w in enumerate(words):
-        if w[0] in QUOTES and opened < 0 or w[0] in "«„“‹":
-            opened = i
-        if opened >= 0 and w.rstrip(".,;:!?")[-1:] in QUOTES and (len(w) > 1):
-            if i - opened < 40:
-                out[opened : i + 1] = [True] * (i + 1 - opened)
+        if opened < 0 and w[0] in QUOTES:
+            opened, closing = i, QUOTES[w[0]]
+        if opened >= 0 and len(w) > 1 and w.rstrip(".,;:!?")[-1:] in closing and w.rstrip(".,;:!?"):
+            out[opened : i + 1] = [True] * (i + 1 - opened)
             opened = -1
     return out
 
@@ -235,10 +248,16 @@ def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
     """A lexicon from (text, toxic) pairs."""
     texts = _unlike(sample)
     spelled: dict[str, str] = {}
-    bags = [({spelled.setdefault(w, normal(w)) for w in set(t.split())} - {""}, y) for t, y in texts]
+    bags = []
+    for t, y in texts:
+        bag: Counter = Counter()
+        for w, n in Counter(t.split()).items():
+            bag[spelled.setdefault(w, normal(w))] += n
+        del bag[""]
+        bags.append((bag, y))
     n_bad, n_good = sum(y for _, y in bags), sum(1 - y for _, y in bags)
     base = sum(y for _, y in sample) / max(1, len(sample))
-    flat = (0.0, math.log(max(0.001, min(0.25, base)) / (1 - max(0.001, min(0.25, base)))))
+    flat = (0.0, 0.0, math.log(max(0.001, min(0.25, base)) / (1 - max(0.001, min(0.25, base)))))
     if not n_bad or not n_good:
         return Lexicon({}, curve=flat)
     bad_docs: dict[str, set[int]] = defaultdict(set)
@@ -256,22 +275,32 @@ def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
     sure = lambda hits, of: hits * math.log(of / (of + n_good)) + math.log(m) < math.log(0.01) if of else False
     least = next((k for k in range(2, 200) if sure(k, 1)), 2)
     nodes = {x for x in below if len(docs_of(x)) >= least}
-    good: Counter = Counter()
+    met_in, said = (Counter(), Counter()), (Counter(), Counter())  # of clean and of toxic texts: texts with the node, and words at or below it
     ways: dict[str, tuple] = {}
     for words, y in bags:
-        if not y:
-            met: set[str] = set()
-            for w in words:
-                if w not in ways:
-                    ways[w] = tuple(x for x in (w, *(w[:k] + "*" for k in range(LEAST_PREFIX, len(w) + 1))) if x in nodes)
-                met.update(ways[w])
-            good.update(met)
+        met: set[str] = set()
+        for w, n in words.items():
+            if w not in ways:
+                ways[w] = tuple(x for x in (w, *(w[:k] + "*" for k in range(LEAST_PREFIX, len(w) + 1))) if x in nodes)
+            met.update(ways[w])
+            for x in ways[w]:
+                said[y][x] += n
+        met_in[y].update(met)
+    good = met_in[0]
+    size = [sum(sum(words.values()) for words, y in bags if y == k) for k in (0, 1)]
+    odds = lambda node: math.log((said[1][node] + 0.5) / (size[1] + 1)) - math.log((said[0][node] + 0.5) / (size[0] + 1))
+
+    def often(node: str) -> bool:
+        """Clean texts have it too, but toxic ones far more often than chance."""
+        ratio = math.log((said[1][node] + 0.5) / (size[1] + 1)) - math.log((said[0][node] + 1) / (size[0] + 1))
+        return ratio - ERRORS * math.sqrt(1 / max(1, met_in[1][node]) + 1 / (good[node] + 1)) >= LEAST_RATIO
+
     pure = lambda node, hits: good[node] <= 0.02 * hits
     heap = [(x.endswith("*"), -len(docs_of(x)), -len(x), x) for x in nodes]  # words first, stems for what they leave
     heapq.heapify(heap)
     open_docs = {i for i, (_, y) in enumerate(bags) if y}
-    terms: dict[str, float] = {}
-    while heap and len(terms) < MOST_TERMS:
+    chosen: list[str] = []
+    while heap:
         star, hits, length, node = heapq.heappop(heap)
         docs = docs_of(node)
         if len(docs) < least:
@@ -279,7 +308,8 @@ def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
         if -hits != len(docs):  # words were taken out since
             heapq.heappush(heap, (star, -len(docs), length, node))
             continue
-        if not pure(node, len(docs)) or not (sure(len(docs), n_bad) or sure(len(docs & open_docs), len(open_docs))):
+        certain = pure(node, len(docs)) and (sure(len(docs), n_bad) or sure(len(docs & open_docs), len(open_docs)))
+        if not certain and not (star and often(node)):
             continue
         while star:  # down to the stem that covers nearly as much
             deeper = {w[: len(node)] + "*" for w in below[node] if len(w) >= len(node)}
@@ -288,10 +318,12 @@ def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
                 break
             node = best[1]
         docs = docs_of(node)
-        terms[node] = math.log((len(docs) + 0.5) / (n_bad + 1)) - math.log((good[node] + 0.5) / (n_good + 1))
+        chosen.append(node)
         open_docs -= docs
         for w in list(below[node]) if star else [node]:
             bad_docs.pop(w, None)
+    stems = [x.removesuffix("*") for x in chosen if x.endswith("*")]
+    terms = {x: odds(x) for x in chosen if not any(x != f"{k}*" and x.startswith(k) for k in stems)}  # a stem stands for all that it begins
     terms = {t: w for t, w in terms.items() if w > 0}
     if not terms:
         return Lexicon({}, curve=flat)
@@ -304,10 +336,10 @@ def learn(sample: list[tuple[bytes, int]]) -> Lexicon:
     fuzzy = {t: math.log((seen[1][t] + 1) / (n_bad + 2)) - math.log((seen[0][t] + 0.5) / (n_good + 1)) for t in terms if Lexicon.edits_of(t) and seen[0][t] <= rare}
     fuzzy = {t: w for t, w in fuzzy.items() if w > 0}
     found = Lexicon(terms, fuzzy)
-    x = np.array([[math.log1p(found.evidence(t))] for t, _ in texts])
+    x = np.array([inputs(*found.figures(t)) for t, _ in texts])
     y = np.array([y for _, y in texts])
-    a, b = logistic(x, y).tolist()
-    return Lexicon(terms, fuzzy, (a, b))
+    a, b, c = logistic(x, y).tolist()
+    return Lexicon(terms, fuzzy, (a, b, c))
 
 
 def lexicon_of(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Lexicon:

@@ -1,4 +1,8 @@
+import math
 import random
+import zlib
+
+import pytest
 
 from khatasort.llm import toxicity as t
 
@@ -52,15 +56,97 @@ def test_quotation_and_address():
     assert lexicon.evidence("clean text") == lexicon.evidence("") == 0
 
 
-def test_held_out_accuracy(spark):
+@pytest.fixture(scope="module")
+def learned(spark):
+    """The lexicon of the sf0.1 tables, and the held-out labelled texts."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    held = [(r.text or "", r.toxic) for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    return t.lexicon_of(docs, labels), held
+
+
+def test_held_out_accuracy(spark, learned):
     folder = "/root/testdata/sf0.1"
     rows = t.query(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
     toxic, clean = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
     assert len(toxic) > 50
-    assert sum(toxic) >= 0.8 * len(toxic)  # some toxic labels are on texts whose bad words the table has lost
+    assert sum(toxic) >= 0.9 * len(toxic)
     assert sum(clean) <= 0.02 * len(clean)
 
 
+def test_misspelled_terms_change_verdicts(learned):
+    lexicon, held = learned
+    without = t.Lexicon(lexicon.terms, {}, lexicon.curve)
+
+    def misspelled(text):  # every term of 5 letters or more has two inner letters swapped
+        return " ".join(w[:1] + w[2] + w[1] + w[3:] if lexicon.look(w) and len(t.normal(w)) >= 5 and w[1] != w[2] else w for w in text.lower().split())
+
+    texts = [misspelled(x) for x, toxic in held if toxic]
+    found, missed = (sum(model.score(x) >= 0.5 for x in texts) for model in (lexicon, without))
+    assert found >= missed + 0.1 * len(texts)
+
+
+def test_quoted_terms_change_verdicts(learned):
+    lexicon, _ = learned
+    around = "the report names what was heard in the street that day and says no more about it than this".split()
+    for term in ("idiot", "worthless", "stupid"):
+        text = " ".join([*around[:8], term, *around[8:]])
+        quotation = " ".join([*around[:8], f'"{term}"', *around[8:]])
+        assert lexicon.score(text.replace("says", "has")) >= 0.5 > lexicon.score(quotation), term
+    assert t.quoted('a "b ' .split() + ["c"] * 100 + ['d"', "e"]) == [False] + [True] * 102 + [False]  # a quotation of any length
+    assert t.quoted("'tis not “closed' here".split()) == [True, True, True, False] and not any(t.quoted("“open for ever".split()))
+
+
+def slow_score(lexicon, text):
+    """A text's score from the edit table, word by word."""
+    words = text.lower().split()
+    marks, begin, ends = dict(t.QUOTES), None, ""
+    inside = [False] * len(words)
+    for i, w in enumerate(words):
+        if begin is None and w[0] in marks:
+            begin, ends = i, marks[w[0]]
+        bare = w.rstrip(".,;:!?")
+        if begin is not None and len(w) > 1 and bare and bare[-1] in ends:
+            for j in range(begin, i + 1):
+                inside[j] = True
+            begin = None
+    total = 0.0
+    for i, raw in enumerate(words):
+        word = t.normal(raw)
+        if (hit := near(lexicon, word)) is None:
+            continue
+        term, edits = hit
+        weight = lexicon.fuzzy.get(term, 0.0) if edits else lexicon.terms[term]
+        close = {t.normal(words[j]) for j in range(max(0, i - 5), min(len(words), i + 6)) if j != i}
+        total += weight * (0.25 if inside[i] else 1.25 if close & t.ADDRESS else 0.4 if close & t.REPORTING else 1.0)
+    a, b, c = lexicon.curve
+    return 1 / (1 + math.exp(-(a * math.log(1 + total) + b * math.log(1 + 100 * total / max(1, len(words))) + c)))
+
+
+known = {}
+
+
+def near(lexicon, word):
+    if word not in known:
+        stems = sorted((x for x in lexicon.terms if x.endswith("*") and word.startswith(x[:-1])), key=len)
+        allowed = {x: 0 if len(x) < 5 else 1 if len(x) < 9 else 2 for x in lexicon.terms if not x.endswith("*") and abs(len(x) - len(word)) <= 2}
+        best = min(((e, x) for x, k in allowed.items() if word and (e := distance(word, x)) <= k), default=None)
+        known[word] = (stems[0], 0) if stems else best and (best[1], best[0])
+    return known[word]
+
+
+def test_scores_equal_brute_force(spark, learned):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = spark.createDataFrame([(-1, 'you "idiot and stupd" they said: worthles scum'), (-2, None), (-3, "the word moron, réeuxx ofti")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(more)
+    lexicon, _ = learned
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = t.scored(docs, lexicon).collect()
+    assert len(rows) == len(texts)
+    assert all(r.score == pytest.approx(slow_score(lexicon, texts[r.doc_id]), abs=1e-9) for r in rows)
+    assert sum(r.score > 0.5 for r in rows) > 3
+
+
 def test_copies_do_not_make_terms():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
