@@ -1,16 +1,16 @@
 """Quality by compression: two zstandard dictionaries, one built from good and one from bad labelled texts.
 
-A text is compressed whole with the good dictionary (g bytes), with the bad one (b) and with none (n).  The normalised
-difference (b - g) / max(g, b) is large for texts that the good dictionary explains better.  A logistic curve over it, the
-three sizes per byte of text, the logarithm of the length, and their products makes it a calibrated probability: how
-much a difference means depends on how long and how repetitive the text is.
+A text is compressed whole with the good dictionary (g bytes) and with the bad one (b).  The difference, normalised by
+the text's length, (b - g) / (bytes + ``FLOOR``), is how many bytes the good dictionary saves for each byte of text: good texts save some everywhere,
+texts that repeat themselves or are made of other things save none.  A logistic curve over that one figure, fitted on labelled texts, is the score.
 
 Labels come from the rows outside the held-out fold, at most ``most`` of them (the ids with the smallest md5): one half,
 in a fixed draw, builds the dictionaries, the other calibrates, so no text is calibrated by a dictionary that knows it.
-Dictionaries are trained on whole texts up to ``SAMPLE_BYTES`` a class; with too few for zstandard's trainer the texts
-themselves, whole and shortest first, are the dictionary.  Every document is scored whole.
+Both dictionaries are built alike at every size: whole texts in the order of the draw, as many as fit into the same number of bytes, which is
+what the class with less text has, at most ``DICTIONARY_BYTES``.  Every document is scored whole; a long one goes through the
+compressor in pieces of ``PIECE`` bytes, all counted, so the dictionary is in reach from its first byte to its last.
 
-Defined cases: null and empty texts are compressed as the empty text and get the score of that length; without labels of
+Defined cases: null and empty texts compress alike and get the curve's score of no difference; without labels of
 both kinds all scores are the share of good labels (0.5 without labels); repeated rows score alike; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -29,35 +29,31 @@ ORACLE_SQL = None
 
 FOLDS, HELD = 3, 1
 MOST = 4000
-DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 110 << 10, 3 << 20, 3
-
-
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of one class: trained, or where the trainer needs more texts, the texts one after another."""
-    samples, size = [], 0
-    for x in texts:
-        if x and size + len(x) <= SAMPLE_BYTES:
-            samples.append(x)
-            size += len(x)
-    if len(samples) >= 100 and size >= 10 * DICTIONARY_BYTES:
-        try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    out, size = [], 0
-    for x in sorted(samples, key=len):
-        if size + len(x) > DICTIONARY_BYTES:
-            break
-        out.append(x)
-        size += len(x) + 1
-    return b"\n".join(out)
+DICTIONARY_BYTES, PIECE, LEVEL = 768 << 10, 64 << 10, 9
+#: Bytes added to a text's length, so that a few words alone aren't far from no difference.
+FLOOR = 50
+
+
+def dictionaries(sample: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """The good and the bad dictionary, of the same size at most, from (text, quality) pairs."""
+    own = [[x for x, y in sample if y == k and x] for k in (1, 0)]
+    room = min(DICTIONARY_BYTES, *(sum(len(x) + 1 for x in texts) for texts in own))
+    found = []
+    for texts in own:
+        held, size = [], 0
+        for x in texts:
+            if size + len(x) + 1 <= room:
+                held.append(x)
+                size += len(x) + 1
+        found.append(b"\n".join(held))
+    return found[0], found[1]
 
 
 class Model:
-    """Dictionaries and curve; flat is the score where there is nothing to compare."""
+    """Dictionaries and curve (slope and intercept); flat is the score where there is nothing to compare."""
 
-    def __init__(self, good: bytes, bad: bytes, mean=None, scale=None, weights=None, flat: float = 0.5):
-        self.parts = (good, bad, mean, scale, weights, flat)
+    def __init__(self, good: bytes, bad: bytes, curve: tuple[float, float] | None = None, flat: float = 0.5):
+        self.parts = (good, bad, curve, flat)
         self._tools = None
 
     def __getstate__(self):
@@ -69,30 +65,28 @@ class Model:
     def _compressors(self):
         if self._tools is None:
             self._tools = []
-            for raw in (*self.parts[:2], b""):
+            for raw in self.parts[:2]:
                 extra = {}
                 if raw:
-                    kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-                    extra["dict_data"] = zstandard.ZstdCompressionDict(raw, dict_type=kind)
+                    extra["dict_data"] = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                     extra["dict_data"].precompute_compress(level=LEVEL)
                 self._tools.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **extra))
         return self._tools
 
-    def figures(self, texts: list[bytes]) -> np.ndarray:
-        g, b, n = (np.array([len(c.compress(x)) for x in texts], dtype=float) for c in self._compressors())
-        size = np.array([len(x) for x in texts], dtype=float) + 20
-        one = np.column_stack([(b - g) / np.maximum(g, b), n / size, g / size, b / size, np.log(size) / 8])
-        i, j = np.triu_indices(one.shape[1])
-        return np.column_stack([one, one[:, i] * one[:, j]])
+    def differences(self, texts: list[bytes]) -> np.ndarray:
+        """The normalised difference of each text's compressed sizes."""
+        good, bad = self._compressors()
+        found = np.zeros(len(texts))
+        for i, x in enumerate(texts):
+            pieces = [x[k : k + PIECE] for k in range(0, len(x), PIECE)]
+            found[i] = sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces) / (len(x) + FLOOR)
+        return found
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        _, _, mean, scale, weights, flat = self.parts
-        if weights is None:
+        _, _, curve, flat = self.parts
+        if curve is None:
             return np.full(len(texts), flat)
-        if not texts:
-            return np.zeros(0)
-        x = np.clip((self.figures(texts) - mean) / scale, -20, 20)
-        return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(curve[0] * self.differences(texts) + curve[1], -30, 30)))
 
 
 def fit(sample: list[tuple[bytes, int]]) -> Model:
@@ -101,11 +95,11 @@ def fit(sample: list[tuple[bytes, int]]) -> Model:
     labels = np.array([y for _, y in tune])
     if len({y for _, y in build}) < 2 or len(set(labels.tolist())) < 2:
         return Model(b"", b"", flat=float(np.mean([y for _, y in sample])) if sample else 0.5)
-    good, bad = (dictionary([x for x, y in build if y == k]) for k in (1, 0))
-    raw = Model(good, bad)
-    x = raw.figures([x for x, _ in tune])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return Model(good, bad, mean, scale, logistic(np.clip((x - mean) / scale, -20, 20), labels, ridge=1e-4))
+    good, bad = dictionaries(build)
+    x = Model(good, bad).differences([x for x, _ in tune])
+    mean, scale = x.mean(), x.std() + 1e-9
+    slope, level = logistic(((x - mean) / scale)[:, None], labels, ridge=1e-4).tolist()
+    return Model(good, bad, (slope / scale, level - slope * mean / scale))
 
 
 def model_of(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
