@@ -20,21 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows in an Arrow batch at most: texts may be long, and a batch is held on both sides of the pipe.
+#: Rows in an Arrow batch at most, as a batch is held on both sides of the pipe; its bytes are bounded by Spark's own setting.
 BATCH_ROWS = 1000
 
+_marked: set[str] = set()
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Make the session ready: executors have the package, Arrow batches are bounded, and checkpoint() has a folder (the cluster's spark.checkpoint.dir, or a temporary one where it is unset)."""
+    """Make the session ready: executors have the package, Arrow batches are bounded (a setting of the session), and checkpoint() has a folder.
+
+    The folder is the cluster's ``spark.checkpoint.dir``.  Where that is unset, a local master gets a temporary folder of its own, and any
+    other master is an error, as no folder of one machine would be seen by all.  What this application puts there goes when its JVM ends.
+    """
     sc = ship(spark).sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "khatasort-checkpoints"))
+    folder = sc._jsc.sc().getCheckpointDir().get()
+    if folder not in _marked:
+        _marked.add(folder)
+        file_system(spark, folder)[0].deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(folder))
     return spark
 
 
+def file_system(spark: SparkSession, folder: str):
+    """The Hadoop file system of a folder, and its path."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """The frame, computed once and written to the shared checkpoint folder, so a lost executor costs nothing."""
     ready(df.sparkSession)
@@ -71,8 +90,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n_folds: int
     """At most ``most`` labelled texts outside the held-out fold, as (text, label, order), in a fixed order.
 
     The sample is the documented bound for fitting a classifier: the labelled ids with the smallest md5 of the id are
-    taken, which is a deterministic uniform draw.  ``labels`` may repeat a doc_id; the largest label counts.  Rows with
-    null label or id are no examples.
+    taken, which is a deterministic uniform draw.  ``labels`` may repeat a doc_id; the largest label counts, and of
+    different texts with one doc_id the smallest.  Rows with null label or id are no examples.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -85,8 +104,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n_folds: int
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
         .collect()
     )
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
