@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from khatasort.llm import decontaminate, mixing, rules, simhash, toxicity
-from khatasort.llm.common import ready, table
+from khatasort.llm.common import file_system, ready, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,16 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``.  Between two stages the rows are written to the shared checkpoint folder and read again; a stage's input is deleted once its output is written."""
-    sc = ready(spark).sparkContext
-    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """The stages over ``documents``.  Between two stages the rows are written to the shared checkpoint folder and read again; a stage's input is deleted once its output is written, and the last one, which the result reads, with the application."""
+    folder = f"{ready(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs, held = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if held:
-            where = sc._jvm.org.apache.hadoop.fs.Path(held)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            files, where = file_system(spark, held)
+            files.delete(where, True)
         held = path
     return STAGES[-1][1](spark, docs, sf_dir)
