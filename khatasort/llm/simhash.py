@@ -10,6 +10,9 @@ the first segment, at most 1 over two, 2 over three, 3 over all four.  So each f
 by that segment's exact value; inside such a bucket the next segment is probed with its 17 values within one bit; the
 third segment cuts again; and only what passes goes to the full Hamming check.
 
+Where very many fingerprints share two segments, their other halves are searched by a second ring of 8-bit segments in place of pair by
+pair; where more than ``BUCKET`` share one, the bucket is split over tasks by the next segment.
+
 Exact copies share a fingerprint and are folded before anything is dealt out.  Buckets return a spanning forest, never
 all pairs; components then come from alternating star contractions over the distinct fingerprints that have a link.
 
@@ -35,6 +38,9 @@ ORACLE_SQL = None
 SEGMENTS, WIDTH, MOST_BITS = 4, 16, 3
 #: Candidate pairs that are looked at together, which bounds the memory of a bucket of any size.
 BLOCK = 2_000_000
+#: Pairs for each fingerprint by two segments, above which the other two are searched by a ring of their own; fingerprints that are looked through
+#: together at least; fingerprints of a bucket before it is split.
+CROWD, GATHERED, BUCKET = 1_000, 400_000, 1 << 20
 
 
 def fingerprint(blob: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -85,6 +91,57 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def _probes(key: np.ndarray, width: int):
+    """For sorted keys, whose lowest ``width`` bits are the next segment: for each way to be within one bit of it, the range of partners of each key."""
+    yield np.arange(1, len(key) + 1), np.searchsorted(key, key, "right")  # equal: each with those after it
+    for flip in range(width):
+        bit = np.uint64(1 << flip)
+        ask = key | bit  # the bit set in the partner only
+        first, last = np.searchsorted(key, ask, "left"), np.searchsorted(key, ask, "right")
+        yield first, np.where(key & bit == 0, last, first)
+
+
+def _join(label: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray) -> None:
+    """Merge the pairs that aren't joined yet, whose first three segments differ in 2 bits at most, and all four in MOST_BITS."""
+    apart = label[left] != label[right]
+    left, right = left[apart], right[apart]
+    differ = value[left] ^ value[right]
+    chain = np.bitwise_count(differ >> np.uint64(WIDTH)) <= 2
+    left, right, differ = left[chain], right[chain], differ[chain]
+    near = np.bitwise_count(differ) <= MOST_BITS
+    _merge(label, left[near], right[near])
+
+
+def _pairs(first: np.ndarray, count: np.ndarray):
+    """(left, right) of all pairs of element i with the ``count[i]`` elements from ``first[i]`` on, in blocks of BLOCK pairs or one element's."""
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(count) and upto[-1]:
+        base = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, base + BLOCK, "right")))
+        here = count[at:end]
+        if total := int(here.sum()):
+            yield np.repeat(np.arange(at, end), here), np.arange(total) - np.repeat(np.cumsum(here) - here, here) + np.repeat(first[at:end], here)
+        at = end
+
+
+def _crowd(label: np.ndarray, ring: np.ndarray, members: np.ndarray) -> None:
+    """Links among many fingerprints whose upper halves are within one bit: the ring once more, on four segments of 8 bits of their lower halves."""
+    low = ring[members] & np.uint64(0xFFFFFFFF)
+    for slot in range(SEGMENTS):
+        turn = np.uint64(8 * slot)
+        turned = ((low << turn) | (low >> (np.uint64(32) - turn))) & np.uint64(0xFFFFFFFF)
+        order = np.argsort(turned, kind="stable")
+        key, own = turned[order] >> np.uint64(16), members[order]  # own and next segment
+        for first, last in _probes(key, 8):
+            for left, right in _pairs(first, np.maximum(last - first, 0)):
+                a, b = own[left], own[right]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                near = np.bitwise_count(ring[a] ^ ring[b]) <= MOST_BITS
+                _merge(label, a[near], b[near])
+
+
 def bucket_forest(slot: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links between the fingerprints of whole buckets; a bucket is a slot and the value of that segment."""
     turn = (slot.astype(np.uint64) * np.uint64(WIDTH)) % np.uint64(64)
@@ -94,66 +151,62 @@ def bucket_forest(slot: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(key, kind="stable")
     key, ring, own = key[order], ring[order], fp[order]
     label = np.arange(len(own))
-    for flip in (None, *range(WIDTH)):
-        if flip is None:  # equal next segment: each with those after it
-            first = np.arange(1, len(key) + 1)
-            last = np.searchsorted(key, key, "right")
-        else:  # next segment with this bit set in the partner only
-            bit = np.uint64(1 << flip)
-            ask = np.where(key & bit == 0, key | bit, np.uint64(2**63))
-            first, last = np.searchsorted(key, ask, "left"), np.searchsorted(key, ask, "right")
+    begin, size = np.unique(key, return_index=True, return_counts=True)[1:]
+    for first, last in _probes(key, WIDTH):
         count = np.maximum(last - first, 0)
-        upto = np.cumsum(count)
-        at = 0
-        while at < len(key):  # blocks of whole probes, of BLOCK pairs or one probe
-            base = upto[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(upto, base + BLOCK, "right")))
-            here = count[at:end]
-            if total := int(here.sum()):
-                left = np.repeat(np.arange(at, end), here)
-                right = np.arange(total) - np.repeat(np.cumsum(here) - here, here) + np.repeat(first[at:end], here)
-                apart = label[left] != label[right]
-                left, right = left[apart], right[apart]
-                differ = ring[left] ^ ring[right]
-                chain = np.bitwise_count(differ >> np.uint64(16)) <= 2  # three segments: at most 2 bits
-                left, right, differ = left[chain], right[chain], differ[chain]
-                near = np.bitwise_count(differ) <= MOST_BITS
-                _merge(label, left[near], right[near])
-            at = end
+        theirs = count[begin]
+        for i in np.flatnonzero(size * theirs > CROWD * (size + theirs)).tolist():  # too many pairs of these with those
+            mine = np.arange(begin[i], begin[i] + size[i])
+            _crowd(label, ring, np.union1d(mine, np.arange(first[begin[i]], last[begin[i]])))
+            count[mine] = 0
+        for left, right in _pairs(first, count):
+            _join(label, left, right, ring)
     moved = np.flatnonzero(label != np.arange(len(label)))
     return own[moved], own[label[moved]]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Spanning links (u > v) among the distinct fingerprints of ``fps``; no link between different ones is lost to reach."""
-    slots = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), (F.shiftrightunsigned("fp", (SEGMENTS - 1 - i) * WIDTH).bitwiseAND(0xFFFF)).cast("int").alias("seg")) for i in range(SEGMENTS)))).alias("s")
-    dealt = fps.select("fp", slots).select("s.slot", "s.seg", "fp").repartition("slot", "seg").sortWithinPartitions("slot", "seg")
+def links(fps: DataFrame, most: int | None = None) -> DataFrame:
+    """Spanning links (u > v) among the distinct fingerprints of ``fps``; no link between different ones is lost to reach.
+
+    A bucket (slot and segment value) with more than ``most`` fingerprints is split by the upper half of its next segment: a fingerprint goes to the
+    part of its own, and to those that differ from it in one bit which it has not set.  There are 4 * 2 ** 16 buckets at most, so the list of
+    such buckets is bounded.
+    """
+    segment = lambda i: F.shiftrightunsigned("fp", (SEGMENTS - 1 - i % SEGMENTS) * WIDTH).bitwiseAND(0xFFFF).cast("int")
+    slots = F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), segment(i).alias("seg"), segment(i + 1).alias("next")) for i in range(SEGMENTS)))).alias("s")
+    dealt = fps.select("fp", slots).select("s.slot", "s.seg", "s.next", "fp")
+    full = dealt.groupBy("slot", "seg").agg(F.count("*").alias("n")).where(F.col("n") > F.lit(most or BUCKET)).select("slot", "seg", F.lit(True).alias("full"))
+    upper = F.shiftright("next", 8)
+    parts = F.concat(F.array(upper), F.filter(F.array(*(upper.bitwiseOR(1 << k) for k in range(8))), lambda x: x != upper))
+    dealt = dealt.join(F.broadcast(full), ["slot", "seg"], "left")
+    dealt = dealt.select("slot", "seg", F.explode(F.when(F.col("full"), parts).otherwise(F.array(F.lit(0)))).alias("part"), "fp")
+    dealt = dealt.repartition("slot", "seg", "part").sortWithinPartitions("slot", "seg", "part")
 
     def run(batches):
         import pyarrow as pa
 
-        def found(slot, fp):
+        def found(kept):
+            slot, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
             u, v = bucket_forest(slot, fp.view(np.uint64))
             if len(u):
                 u, v = u.view(np.int64), v.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         kept: list[tuple] = []
-        rows = 0
+        rows, before = 0, None
         for batch in batches:
-            kept.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            rows += batch.num_rows
-            if rows < 400_000:
-                continue
-            slot, seg, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
-            new = np.flatnonzero((np.diff(slot) != 0) | (np.diff(seg) != 0))
-            cut = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on in the next batch
-            if cut:
-                yield from found(slot[:cut], fp[:cut])
-            kept, rows = [(slot[cut:], seg[cut:], fp[cut:])], len(slot) - cut
+            slot, seg, part, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            bucket = (slot.astype(np.int64) << 32) | (seg.astype(np.int64) << 8) | part
+            new = np.flatnonzero(np.diff(bucket, prepend=bucket[0] if before is None else before)) if len(bucket) else np.zeros(0, int)
+            if len(new) and rows + new[-1] >= GATHERED:  # whole buckets are enough; the last one may go on
+                cut = int(new[-1])
+                yield from found([*kept, (slot[:cut], fp[:cut])])
+                kept, rows, slot, fp = [], 0, slot[cut:], fp[cut:]
+            if len(bucket):
+                kept.append((slot, fp))
+                rows, before = rows + len(slot), bucket[-1]
         if rows:
-            slot, _, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
-            yield from found(slot, fp)
+            yield from found(kept)
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 

@@ -45,6 +45,52 @@ def test_fingerprint_equals_bitwise_count(text):
     assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
 
 
+def reached(fps, u, v):
+    """The smallest place that each fingerprint reaches by links (u, v)."""
+    place = {int(f): i for i, f in enumerate(fps)}
+    label = np.arange(len(fps))
+    simhash._merge(label, np.array([place[int(x)] for x in u], dtype=int), np.array([place[int(x)] for x in v], dtype=int))
+    return label
+
+
+def every_slot(fps):
+    every = sorted((s, (int(f) >> (48 - 16 * s)) & 0xFFFF, int(f)) for s in range(4) for f in fps)
+    return np.array([e[0] for e in every]), np.array([e[2] for e in every], dtype=np.uint64)
+
+
+def all_pairs(fps):
+    """The same by comparing each fingerprint with all."""
+    label = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3)
+        simhash._merge(label, np.full(len(near), i), near)
+    return label
+
+
+def test_crowds_that_share_two_segments():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**32, 700, dtype=np.uint64)
+    low = np.concatenate([centres ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 32, 700, dtype=np.uint64) for _ in range(k)], axis=0) for k in (1, 2, 3, 4)])
+    upper = np.uint64(0xABCD1234) ^ np.where(rng.random(len(low)) < 0.3, np.uint64(1 << 3), np.uint64(0))  # two crowds, a bit apart
+    fps = np.unique((upper << np.uint64(32)) | low)
+    assert len(fps) > 2 * simhash.CROWD
+    want = all_pairs(fps)
+    assert 100 < len(set(want.tolist())) < len(fps)
+    assert (reached(fps, *simhash.bucket_forest(*every_slot(fps))) == want).all()
+
+
+def test_large_buckets_are_split(spark):
+    rng = np.random.default_rng(6)
+    upper = np.uint64(0x7777) << np.uint64(48)  # one segment shared by all
+    centres = rng.integers(0, 2**48, 150, dtype=np.uint64)
+    fps = np.unique(upper | np.concatenate([centres ^ (np.uint64(1) << rng.integers(0, 48, 150, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 48, 150, dtype=np.uint64)) for _ in range(5)]))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for most in (20, 1 << 20):
+        rows = simhash.links(frame, most).collect()
+        u, v = (np.array([r[k] for r in rows], dtype=np.int64).view(np.uint64) for k in (0, 1))
+        assert (reached(fps, u, v) == all_pairs(fps)).all()
+
+
 def test_forest_equals_all_pairs():
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(60)]
