@@ -8,8 +8,9 @@ Content-Length bytes and two line ends.
 Writing.  Payloads of at least ``least_bytes`` bytes that equal another one (same SHA-1, SHA-256 and length) are told
 apart by page_id alone: the largest is a response, the others are revisits that refer to it and carry no payload.  That
 is settled on digests, not on texts: counts and maxima by digest are summed before they are shuffled, so a payload that
-a third of all pages share is one row a task, and only digests of repeated payloads are joined back.  Each task then packs
-its own pages into archives of a bounded size; nothing is gathered.
+a third of all pages share is one row a task, and only digests of repeated payloads are joined back (broadcast while they
+are few, so pages stay where they are).  Each task then packs its own pages into archives of a bounded size, all with
+one dictionary, trained once on a bounded sample of whole records; nothing is gathered.
 
 Archives are rows (archive, content) and can be kept in a table or written out as files (``save``); the reader takes
 such rows, or files by Spark's ``binaryFile`` source.  It loads the dictionary from the leading frame, decodes a frame at
@@ -40,8 +41,10 @@ NAME = "op10_zstd_warc"
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 LEAST_BYTES = 1000
-#: Bytes of payload in an archive before the next one begins, and of samples for its dictionary.
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 8 << 20, 1 << 20, 32 << 10
+#: Bytes of records in an archive before the next one begins, of the dictionary, and of a page that it is trained on; such pages at most.
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, SAMPLES = 8 << 20, 32 << 10, 1 << 20, 200
+#: Revisits (id, digest and target) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = b"\r\n"
 
@@ -64,24 +67,29 @@ def hex_of(digest: str) -> str:
         raise WarcError(f"digest {digest!r}: {err}") from None
 
 
+def record_id(page_id, kind: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{kind}:{digest}')}>"
+
+
 def record(kind: str, url: str | None, payload: bytes, page_id=None, refers_to=None, date: str = "2020-01-01T00:00:00Z") -> bytes:
-    """One WARC record; a revisit leaves its payload out and keeps its digest and length."""
+    """One WARC record; a revisit leaves its payload out, keeps its digest and length, and names the response's record."""
     http = LINE.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""])
     block = http if kind == "revisit" else http + payload
+    digest = sha1_text(payload)
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{kind}:{sha1_text(payload)}')}>"),
+        ("WARC-Record-ID", record_id(page_id, kind, digest)),
         ("WARC-Date", date),
         ("WARC-Target-URI", quote(url, safe="!#$&'()*+,/:;=?@[]~%-._") if url is not None else "urn:none:"),
         ("Content-Type", "application/http; msgtype=response"),
-        ("WARC-Payload-Digest", sha1_text(payload)),
+        ("WARC-Payload-Digest", digest),
         ("WARC-Block-Digest", sha1_text(block)),
         ("X-Payload-Length", len(payload)),
     ]
     if page_id is not None:
         fields.append(("X-Page-Id", page_id))
     if kind == "revisit":
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", refers_to)]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, "response", digest)), ("X-Refers-To-Page", refers_to)]
     fields.append(("Content-Length", len(block)))
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + LINE + block + LINE + LINE
 
@@ -116,13 +124,16 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary for the records; b'' where the samples are too few to train one."""
-    if len(samples) < 8 or sum(map(len, samples)) < 8 * size:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    """A dictionary from whole records, and from some of this module's own so that there are enough for one."""
+    own = [record(kind, f"https://www.example.org/{i}/page", b"<!DOCTYPE html><html><head><title>%d</title></head><body><p>%d</p></body></html>" % (i, i * i), i, i) for i in range(200) for kind in ("response", "revisit")]
+    return zstandard.train_dictionary(size, [*own, *samples], level=3).as_bytes()
+
+
+def dictionary_of(pages: DataFrame, most: int = SAMPLES) -> bytes:
+    """One dictionary for all archives, from at most ``most`` pages: those with the smallest hash of the id, without such as are longer than ``SAMPLE_BYTES`` each."""
+    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    rows = pages.join(F.broadcast(ids), "page_id").where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id", "url", "html").distinct().collect()
+    return train([record("response", r.url, r.html.encode(), r.page_id) for r in sorted(rows, key=lambda r: (r.page_id, r.url or "", r.html))])
 
 
 def archive(records: list[bytes], dictionary: bytes = b"", level: int = 3) -> bytes:
@@ -194,13 +205,15 @@ def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     payload = F.col("html").cast("binary")
     big = (F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()
-    digest = F.concat(F.sha1(payload), F.lit(":"), F.sha2(payload, 256), F.lit(":"), F.octet_length("html").cast("string"))
+    digest = F.unhex(F.concat(F.sha1(payload), F.sha2(payload, 256), F.lpad(F.hex(F.octet_length("html")), 16, "0")))
     marks = pinned(rows.where(big).select("page_id", digest.alias("digest")))
     repeated = marks.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    repeated = repeated.withColumnRenamed("digest", "repeated_digest")  # reversed keys: the left side gets a shuffle of its own, which Spark splits where one payload is very common
-    named = marks.join(repeated, F.reverse("digest") == F.reverse("repeated_digest")).groupBy("page_id", "digest", "refers_to").agg(F.count("*").alias("times"))
+    repeated = repeated.withColumnRenamed("digest", "repeated_digest")  # keys in another form: the left side gets a shuffle of its own, which Spark splits where one payload is very common
+    named = marks.join(repeated, F.hex("digest") == F.hex("repeated_digest")).groupBy("page_id", "digest", "refers_to").agg(F.count("*").alias("times"))
     others = named.where("page_id <> refers_to or times > 1").select(F.col("page_id").alias("other_id"), F.col("digest").alias("other_digest"), "refers_to", (F.col("page_id") == F.col("refers_to")).alias("own"))
     others = pinned(others)
+    if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        others = F.broadcast(others)
     found = rows.withColumn("digest", F.when(big, digest)).join(others, (F.col("page_id") == F.col("other_id")) & (F.col("digest") == F.col("other_digest")), "left")
     if others.where("own").limit(1).count():  # repeated rows of a response's page: the first is the response
         first = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) == 1
@@ -213,33 +226,26 @@ def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 def write(pages: DataFrame, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives of all pages: archive (a name) and content."""
+    sent = pages.sparkSession.sparkContext.broadcast(dictionary_of(pages))
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        waiting: list[tuple[bytes, str]] = []
+        waiting: list[bytes] = []
         held = 0
 
         def close():
             nonlocal number
-            samples, size = [], 0
-            for raw, _ in waiting:
-                if size >= SAMPLE_BYTES:
-                    break
-                samples.append(raw[:100_000])
-                size += len(samples[-1])
-            content = archive([raw for raw, _ in waiting], train(samples))
             name = f"pages-{part:06d}-{number:06d}.warc.zst"
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([archive(waiting, sent.value)], pa.binary())], ["archive", "content"])
 
         for batch in batches:
             for page_id, url, html, kind, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                payload = html.encode()
-                waiting.append((record(kind, url, payload, page_id, refers_to), kind))
-                held += len(waiting[-1][0])
+                waiting.append(record(kind, url, html.encode(), page_id, refers_to))
+                held += len(waiting[-1])
                 if held >= archive_bytes:
                     yield close()
                     waiting, held = [], 0
@@ -249,16 +255,29 @@ def write(pages: DataFrame, least_bytes: int = LEAST_BYTES, archive_bytes: int =
     return plan(pages, least_bytes).mapInArrow(run, "archive string, content binary")
 
 
-def save(archives: DataFrame, folder: str) -> None:
-    """Write the archives as files into a folder that all executors share (any file system that Spark reaches)."""
-    spark = archives.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(folder)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in archives.toLocalIterator():  # one archive of bounded size at a time
-        out = fs.create(hadoop.Path(where, row.archive), True)
-        out.write(bytearray(row.content))
-        out.close()
+def save(archives: DataFrame, folder: str) -> int:
+    """Write the archives as files into a folder that all executors share, and return their number.
+
+    Each task writes its own, through pyarrow's file system for the folder's scheme, under a passing name that is then
+    changed, so a task that is run again leaves no half of a file.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, top = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                passing = f"{top}/.{name}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(passing, compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(passing, f"{top}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return archives.select("archive", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,8 +19,14 @@ def test_equals_sql(spark):
 def test_round_trip_with_dictionary_and_files(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     archives = w.write(pages, archive_bytes=300_000)
-    w.save(archives, str(tmp_path / "out"))
-    assert any(p.read_bytes()[:4] == w.DICTIONARY_MAGIC for p in (tmp_path / "out").glob("*.warc.zst"))
+    n = w.save(archives, str(tmp_path / "out"))
+    contents = [p.read_bytes() for p in (tmp_path / "out").glob("*.warc.zst")]
+    assert n == len(contents) > 3 and all(x[:4] == w.DICTIONARY_MAGIC for x in contents)
+    assert len({x[: 8 + int.from_bytes(x[4:8], "little")] for x in contents}) == 1  # one dictionary for all
+    fields = [f for x in contents for f, _ in w.read_archive(x)]
+    ids = {f["warc-record-id"]: f["x-page-id"] for f in fields}
+    assert len(ids) == len(fields)
+    assert all(ids[f["warc-refers-to"]] == f["x-refers-to-page"] for f in fields if f["warc-type"] == "revisit")
     rows = w.read(w.files(spark, str(tmp_path / "out"))).collect()
     want = {r.page_id: (r.url, (r.html or "").encode()) for r in pages.collect()}
     payloads = {r.page_id: r.payload for r in rows}
@@ -64,3 +70,14 @@ def test_plain_dictionary_in_the_leading_frame():
     assert [f["x-page-id"] for f, _ in w.read_archive(plain)] == [f["x-page-id"] for f, _ in w.read_archive(body)] == [str(i) for i in range(400)]
     with pytest.raises((w.WarcError, zstandard.ZstdError)):
         list(w.read_archive(body[size:]))
+
+
+def test_very_long_pages_small_tables_and_shuffled_revisits(spark, monkeypatch):
+    long = "<p>" + "word " * 1_000_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "tiny")], "page_id long, url string, html string")
+    archives = w.write(pages).collect()
+    assert all(bytes(r.content)[:4] == w.DICTIONARY_MAGIC for r in archives)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in w.read(w.write(pages)).collect())
+    assert got == [(1, len(long), "revisit", 2), (2, len(long), "response", None), (3, 4, "response", None)]
+    monkeypatch.setattr(w, "BROADCAST_ROWS", 0)
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in w.read(w.write(pages)).collect()) == got
