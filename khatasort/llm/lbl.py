@@ -1,7 +1,7 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
 Tokens are the words of the text with A-Z in lower case, then one end.  The model predicts a token's class from the two
-tokens before it: every word with ``WIDTH`` training tokens or more (as many as its vector has numbers) is a class of its
+tokens before it: every word with ``LEAST`` training tokens or more (as many as its two vectors have numbers) is a class of its
 own, so classes grow with the corpus; the end is one, and all rarer words are one class together, inside which a word has
 its smoothed share.  Classes are the leaves of a Huffman tree with ``BRANCH`` children a node.  With context vectors r,
 position matrices M1 and M2, and target vectors q and biases b of the tree's edges, an edge's score is
@@ -13,7 +13,9 @@ one over all words and one unseen word, and a token's cost grows with the logari
 
 Training.  The counts of all training tokens are gathered by word.  Every training text then trains the model: each task
 runs stochastic gradient steps over its own documents from a common start, with noise at each node of a target's path,
-and each vector is averaged over the tasks that met it by how often they did.  No text leaves its task.
+and each vector is averaged over the tasks that met it by how often they did.  No text leaves its task.  Noise is seeded by a task's
+first text, not by its number; how the texts are dealt out to tasks (files, cores) still decides which are averaged, so
+another layout of the same rows gives slightly other scores, and the same layout the same.
 
 Scoring.  The trained words (and more, up to ``HEAD``, told by a histogram of counts) are sent to the tasks with their
 counts; for the other words of a document, rows of document and word meet the counts in one join by word, and their
@@ -27,6 +29,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -39,15 +42,19 @@ NAME = "op7_log_bilinear_model"
 ORACLE_SQL = None
 
 FOLDS, HELD = 7, 2
-#: Numbers in a word's vector; a word with as many training tokens is trained, and rarer ones share a class.
+#: Numbers in a word's vector.
 WIDTH = 16
+#: Training tokens of a word that is trained: as many as its two vectors have numbers; rarer ones share a class.
+LEAST = 2 * WIDTH
+#: Tokens that are scored together: many share a node of the tree.
+TOGETHER = 500_000
 #: Children of a node in the tree of words.
 BRANCH = 64
 #: Words that are sent to all tasks at most, unless more are trained; words that a task counts before it hands them on.
 HEAD, COUNTED = 1 << 18, 300_000
-STEP, NOISE, RATE = 1024, 48, 0.3
+STEP, NOISE, RATE = 4096, 24, 0.3
 #: Below the root: noise words for a token.  Of the vectors: step size and where AdaGrad's sums of squares begin.
-INNER_NOISE, ROW_RATE, ROW_PAST = 4, 0.1, 0.3
+INNER_NOISE, ROW_RATE, ROW_PAST = 2, 0.1, 0.3
 #: Vectors that a task returns in one row.
 PART = 1 << 15
 #: The end's key among words; no word has a line end.
@@ -118,11 +125,11 @@ class Tree:
         elements = size + len(merged) - 1  # all but the root
         parent = parent[:elements]
         by_node = np.argsort(-parent, kind="stable")
-        edge_of = np.empty(elements, dtype=np.int32)
+        edge_of = np.empty(elements, dtype=np.intp)
         edge_of[by_node] = np.arange(elements)
         _, first, count = np.unique(-parent[by_node], return_index=True, return_counts=True)
         #: Of each edge: its node's first edge and number of children, and its share among them.
-        self.start, self.size = np.repeat(first, count).astype(np.int32), np.repeat(count, count).astype(np.int32)
+        self.start, self.size = np.repeat(first, count).astype(np.intp), np.repeat(count, count).astype(np.intp)
         mass = np.concatenate([shares, merged])[by_node]
         self.share = mass / np.repeat(np.add.reduceat(mass, first), count)
         #: Edges of every item: the root's, and those below it, padded with -1.
@@ -190,7 +197,7 @@ class Network:
             cuts = np.flatnonzero(np.diff(start, prepend=-1, append=-1))
             few = np.ones(len(edge), dtype=bool)
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if j - i >= 8:  # one product for a node's tokens
+                if j - i >= 2:  # one product for a node's tokens
                     few[i:j] = False
                     score[i:j] -= _log_sum(own[i:j] @ edges[start[i] : start[i] + size[i]].T)
             few = np.flatnonzero(few)
@@ -231,49 +238,69 @@ class Trainer:
 
     def step(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> None:
         net, tree, n = self.net, self.net.tree, len(target)
-        edges = net.rows[net.items :]
+        rows, edges = net.rows, net.rows[net.items :]
         noise = self.rng.choice(tree.top_size, NOISE, p=self.share)
-        ahead = net.ahead(first, second)
-        top = tree.top[target]
-        q = edges[top]
-        g_true = _missing(np.einsum("ij,ij->i", ahead, q) - self.log_noise[top])
-        g_false = _missing(self.log_noise[noise] - ahead @ edges[noise].T)
-        g_ahead = g_true[:, None] * q - g_false @ edges[noise]
-        ids, grads = [top, noise], [g_true[:, None] * ahead, -g_false.T @ ahead]
+        r1, r2 = rows.take(first, axis=0)[:, :WIDTH], rows.take(second, axis=0)[:, :WIDTH]
+        ahead = np.ones((n, WIDTH + 1), dtype=np.float32)
+        ahead[:, :WIDTH] = r1 @ net.m[0] + r2 @ net.m[1]
+        # the root: its children are few, so their gradients are sums by matrix products
+        top = tree.top.take(target)
+        q, q_noise = edges.take(top, axis=0), edges.take(noise, axis=0)
+        g_true = _missing(np.einsum("ij,ij->i", ahead, q) - self.log_noise.take(top))
+        g_false = _missing(self.log_noise.take(noise) - ahead @ q_noise.T)
+        g_ahead = g_true[:, None] * q - g_false @ q_noise
+        pull = np.zeros((tree.top_size, n), dtype=np.float32)
+        pull[top, np.arange(n)] = g_true
+        g_top = pull @ ahead
+        np.subtract.at(g_top, noise, g_false.T @ ahead)
+        met = np.bincount(np.concatenate([top, noise]), minlength=tree.top_size)
+        self._move(np.flatnonzero(met) + net.items, g_top[met > 0], met[met > 0])
+        ids, grads = [], []
         for column in tree.inner.T:
-            edge = column[target]
+            edge = column.take(target)
             held = np.flatnonzero(edge >= 0)
             if not len(held):
                 continue
-            edge, own = edge[held], ahead[held]
-            wrong = tree.start[edge, None] + (self.rng.random((len(held), INNER_NOISE), dtype=np.float32) * tree.size[edge, None]).astype(np.int32)
-            wrong = np.minimum(wrong, (tree.start[edge] + tree.size[edge] - 1)[:, None])
-            q, q_wrong = edges[edge], edges[wrong]
-            log_noise = self.log_inner[edge]
+            edge, own = edge.take(held), ahead.take(held, axis=0)
+            start, size = tree.start.take(edge), tree.size.take(edge)
+            log_noise = self.log_inner.take(edge)
+            q = edges.take(edge, axis=0)
             g_true = _missing(np.einsum("ij,ij->i", own, q) - log_noise)
-            g_false = _missing(log_noise[:, None] - np.matmul(q_wrong, own[:, :, None])[:, :, 0])
-            g_ahead[held] += g_true[:, None] * q - np.matmul(g_false[:, None, :], q_wrong)[:, 0]
-            ids += [edge, wrong.ravel()]
-            grads += [g_true[:, None] * own, (-g_false[:, :, None] * own[:, None, :]).reshape(-1, WIDTH + 1)]
+            back = g_true[:, None] * q
+            ids.append(edge)
+            grads.append(g_true[:, None] * own)
+            for chance in self.rng.random((INNER_NOISE, len(held)), dtype=np.float32):
+                wrong = start + np.minimum((chance * size).astype(np.intp), size - 1)
+                q = edges.take(wrong, axis=0)
+                g_false = _missing(log_noise - np.einsum("ij,ij->i", own, q))
+                back -= g_false[:, None] * q
+                ids.append(wrong)
+                grads.append(-g_false[:, None] * own)
+            g_ahead[held] += back
         g_ahead = g_ahead[:, :WIDTH]
-        r1, r2 = net.rows[first, :WIDTH], net.rows[second, :WIDTH]
         g_context = np.zeros((2 * n, WIDTH + 1), dtype=np.float32)
         g_context[:n, :WIDTH], g_context[n:, :WIDTH] = g_ahead @ net.m[0].T, g_ahead @ net.m[1].T
         where = np.concatenate([*(x + net.items for x in ids), first, second])
-        rows = np.concatenate([*grads, g_context])
         order = np.argsort(where)
-        where = where[order]
+        where = where.take(order)
         starts = np.flatnonzero(np.diff(where, prepend=-1))
-        own = where[starts]
-        g = np.add.reduceat(rows[order], starts, axis=0)
-        self.touched[own] += np.diff(starts, append=len(where))
-        past = self.past[own] + g * g
-        self.past[own] = past
-        net.rows[own] += ROW_RATE * g / np.sqrt(past)
+        g = np.add.reduceat(np.concatenate([*grads, g_context]).take(order, axis=0), starts, axis=0)
+        self._move(where.take(starts), g, np.diff(starts, append=len(where)))
         g = np.stack([r1.T @ g_ahead, r2.T @ g_ahead]) / n
         self.past_m += g * g
         net.m += RATE * g / np.sqrt(self.past_m)
 
+    def _move(self, own: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
+        """An AdaGrad step of some vectors."""
+        past = self.past.take(own, axis=0)
+        past += g * g
+        self.past[own] = past
+        np.sqrt(past, out=past)
+        g *= ROW_RATE
+        g /= past
+        self.net.rows[own] += g
+        self.touched[own] += times
+
 
 def _missing(x: np.ndarray) -> np.ndarray:
     """1 less the logistic function."""
@@ -301,7 +328,7 @@ class Vocabulary:
         self.words = [w.encode() for w, _ in ranked]
         self.total, self.distinct = total, distinct
         self.counts = np.array([n for _, n in ranked], dtype=np.int64)
-        own = int((self.counts >= WIDTH).sum()) if classes is None else min(len(ranked), classes - 2)
+        own = int((self.counts >= LEAST).sum()) if classes is None else min(len(ranked), classes - 2)
         self.own = own
         self.classes = np.full(len(ranked) + 1, OTHER_CLASS, dtype=np.int32)  # one more for words outside the head
         self.classes[:own] = np.arange(2, own + 2)
@@ -315,7 +342,7 @@ class Vocabulary:
 
 
 def head_of(counts: DataFrame, most: int | None = None) -> list[tuple[str, int]]:
-    """The end, all words with ``WIDTH`` tokens or more, and as many more of the most frequent as a histogram of 16 bins a doubling shows to fit into ``most``."""
+    """The end, all words with ``LEAST`` tokens or more, and as many more of the most frequent as a histogram of 16 bins a doubling shows to fit into ``most``."""
     bin_of = F.floor(F.log2("n") * 16)
     bins = sorted(((r["bin"], r["k"]) for r in counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("k")).collect()), reverse=True)
     held, least = 0, None
@@ -323,7 +350,7 @@ def head_of(counts: DataFrame, most: int | None = None) -> list[tuple[str, int]]
         if held + k > (most or HEAD) - 1:
             break
         held, least = held + k, b
-    wanted = (F.col("word") == END) | (F.col("n") >= WIDTH)
+    wanted = (F.col("word") == END) | (F.col("n") >= LEAST)
     if least is not None:
         wanted = wanted | (bin_of >= least)
     return [(r.word, r["n"]) for r in counts.where(wanted).collect()]
@@ -344,16 +371,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
 
         def run(batches, start=start, number=number):
             import pyarrow as pa
-            from pyspark import TaskContext
 
             words, shares, tree = sent.value
             class_of = {w: i + 2 for i, w in enumerate(words)}.get
-            trainer = Trainer(start.value, shares, 1000 * number + TaskContext.get().partitionId(), tree)
+            trainer = None
             waiting: list[np.ndarray] = []
             held = seen = 0
 
             def learn() -> int:
-                first, second, target = contexts(waiting)
+                first, second, target = (x.astype(np.intp) for x in contexts(waiting))
                 waiting.clear()
                 for i in range(0, len(target), STEP):
                     trainer.step(first[i : i + STEP], second[i : i + STEP], target[i : i + STEP])
@@ -361,11 +387,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
 
             for batch in batches:
                 for blob in blobs(batch.column(0)):
+                    if trainer is None:
+                        trainer = Trainer(start.value, shares, zlib.crc32(blob, number), tree)
                     classes = [class_of(w, OTHER_CLASS) for w in words_of(blob)]
                     classes.append(END_CLASS)
                     waiting.append(np.array(classes, dtype=np.int32))
                     held += len(classes)
-                    if held >= 128 * STEP:
+                    if held >= 32 * STEP:
                         seen += learn()
                         held = 0
             if held:
@@ -409,14 +437,18 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
     return net
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    sc = docs.sparkSession.sparkContext
+def fitted(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Network]:
+    """The counts of all training tokens by word, the vocabulary, and the trained network."""
     counts = pinned(word_counts(docs))
     figures = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     vocabulary = Vocabulary(head_of(counts), figures["n"], figures["v"])
-    net = train(docs, vocabulary)
-    sent = sc.broadcast((vocabulary, net))
+    return counts, vocabulary, train(docs, vocabulary)
+
+
+def scored(docs: DataFrame, model: tuple[DataFrame, Vocabulary, Network] | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    counts, vocabulary, net = model or fitted(docs)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -464,20 +496,19 @@ def scored(docs: DataFrame) -> DataFrame:
                 ["doc_id", "key", "n_tokens", "known", "base", "other", "n_other", "model_log", "tail", "times"],
             )
 
+        waiting, held = [], 0
         for batch in batches:
             id_type = batch.column(0).type
-            waiting, held = [], 0
             for doc_id, blob in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
                 words = words_of(blob)
                 waiting.append((doc_id, words, np.array([number(w, none) for w in words], dtype=np.int64)))
                 held += len(words) + 1
-                if held > 200_000:
+                if held > TOGETHER:
                     yield out(waiting, key)
                     key += len(waiting)
                     waiting, held = [], 0
-            if waiting:
-                yield out(waiting, key)
-                key += len(waiting)
+        if waiting:
+            yield out(waiting, key)
 
     schema = f"doc_id {kind}, key long, n_tokens long, known long, base double, other double, n_other long, model_log double, tail array<string>, times array<int>"
     rows = pinned(docs.select("doc_id", "text").mapInArrow(run, schema))

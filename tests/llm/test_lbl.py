@@ -49,7 +49,7 @@ def test_training_learns_a_pattern():
     shares = np.array([0.05, 0.05, *[0.9 / 6] * 6])
     follow = np.array([2, 2, 3, 4, 5, 6, 7, 2])
     trainer = lbl.Trainer(lbl.Network(shares).flat(), shares, 1)
-    for _ in range(600):
+    for _ in range(800):
         first, second = rng.integers(0, 8, 512), rng.integers(0, 8, 512)
         trainer.step(first, second, np.where(rng.random(512) < 0.8, follow[first], rng.integers(0, 8, 512)))
     first = np.arange(8)
@@ -93,3 +93,49 @@ def test_every_word_with_enough_tokens_is_learned(spark):
     assert set(vocabulary.classes[:1500].tolist()) == set(range(2, 1502))
     rows = lbl.scored(docs).collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.2 * sum(r.n_tokens for r in rows)
+
+
+def slow_path(tree, item):
+    """The edges from the root to an item."""
+    return [int(tree.top[item]), *(int(c) for c in tree.inner[item][::-1] if c >= 0)]
+
+
+def test_scores_equal_a_slow_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, "The of xyzzyx")], "doc_id long, text string"))
+    counts, vocabulary, net = model = lbl.fitted(docs)
+    table = {r.word: r["n"] for r in counts.collect()}
+    total, distinct = sum(table.values()), len(table)
+    ranked = sorted((w for w in table if w != lbl.END), key=lambda w: (-table[w], w))
+    own = {w: i + 2 for i, w in enumerate(x for x in ranked if table[x] >= lbl.LEAST)}
+    assert len(own) > 100 and len(net.tree.start) > net.tree.top_size
+    rest = sum(n for w, n in table.items() if w not in own and w != lbl.END)
+    kinds = sum(w not in own and w != lbl.END for w in table)
+    edges, m = net.rows[net.items :].astype(float), net.m.astype(float)
+
+    def chance(first, second, target):
+        ahead = np.append(net.rows[first, :16] @ m[0] + net.rows[second, :16] @ m[1], 1.0)
+        found = 0.0
+        for edge in slow_path(net.tree, target):
+            begin, size = int(net.tree.start[edge]), int(net.tree.size[edge])
+            scores = edges[begin : begin + size] @ ahead
+            found += scores[edge - begin] - math.log(np.exp(scores).sum())
+        return found / math.log(10)
+
+    got = {r.doc_id: r for r in lbl.scored(docs, model).collect()}
+    few = [r for r in docs.collect() if len((r.text or "").split()) < 120][:25]
+    assert len(few) > 10
+    for r in few:
+        words = (r.text or "").encode().lower().decode().split()
+        before, want = [0, 0], 0.0
+        for w in [*words, None]:
+            item = 0 if w is None else own.get(w, 1)
+            want += chance(before[-1], before[-2], item)
+            if item == 1:
+                want += math.log10((table.get(w, 0) + 1) / (rest + kinds + 1))
+            before.append(item)
+        assert abs(got[r.doc_id].score - want) < 1e-3 * max(1, abs(want)), r.doc_id
+    # normalised: the classes' probabilities, and those of the words that share one with an unseen word, sum to one
+    assert abs(sum(10 ** chance(5, 9, i) for i in range(net.items)) - 1) < 1e-6
+    assert abs(sum((n + 1) / (rest + kinds + 1) for w, n in table.items() if w not in own and w != lbl.END) + 1 / (rest + kinds + 1) - 1) < 1e-9
+    assert total == vocabulary.total and distinct == vocabulary.distinct
