@@ -33,8 +33,8 @@ def _blocks(index: DataFrame, size: int):
         yield rows
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = fixed.NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query, item, label, similarity, place of the k nearest items of every query; equal similarities by item."""
+def nearest(queries: DataFrame, index: DataFrame, k: int = fixed.NEIGHBOURS, block_rows: int = BLOCK_ROWS, apart: bool = False) -> DataFrame:
+    """query, item, label, similarity, place of the k nearest items of every query; equal similarities by item.  apart: an item isn't a neighbour of the query with its number."""
     kind, item_kind, label_kind = queries.schema["query"].dataType.simpleString(), index.schema["item"].dataType.simpleString(), index.schema["label"].dataType.simpleString()
     types = [to_arrow_type(index.schema[c].dataType) for c in ("item", "label")]
     sc = queries.sparkSession.sparkContext
@@ -55,8 +55,12 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = fixed.NEIGHBOURS, blo
                 out: list[tuple] = []
                 for a in range(0, len(ids), 512):
                     scores = vectors[a : a + 512] @ matrix.T
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    out += [(ids[a + i], items[j], labels[j], float(scores[i, j])) for i, row in enumerate(best) for j in row.tolist()]
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, : k + apart]
+                    for i, row in enumerate(best):
+                        own = [j for j in row.tolist() if not apart or items[j] != ids[a + i]][:k]
+                        out += [(ids[a + i], items[j], labels[j], float(scores[i, j])) for j in own]
+                if not out:
+                    continue
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (batch.column(0).type, *types, pa.float64()), strict=True)], ["query", "item", "label", "similarity"])
 

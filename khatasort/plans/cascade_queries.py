@@ -42,9 +42,19 @@ def exact_directory(spark, sf_dir):
 
 
 def rule_hits(spark, sf_dir):
-    rows = cascade.named(stmt(spark, sf_dir).select("row_number", "counterparty"))
-    rows = text.computed(rows, {"rule": cascade.first_rule(F.col("norm"), F.col("canon"), text.ambiguous(F.col("norm"), F.col("canon")))})
-    return rows.select("row_number", "rule.pattern", "rule.category")
+    """The rule that each transaction's name meets; a name is looked up once."""
+    rows = stmt(spark, sf_dir).select("row_number", "counterparty")
+    names = cascade.named(rows.select("counterparty").distinct())
+    names = text.computed(names, {"rule": cascade.first_rule(F.col("norm"), F.col("canon"), text.ambiguous(F.col("norm"), F.col("canon")))})
+    names = names.select(F.col("counterparty").alias("name"), "rule.pattern", "rule.category")
+    return rows.join(names, F.col("counterparty").eqNullSafe(F.col("name")), "left").select("row_number", "pattern", "category")
+
+
+def classify_names(spark, sf_dir):
+    """The native layers over all names of parts, customers and suppliers, so that names grow with the data."""
+    parts = [read(spark, sf_dir, name).select(F.col(column).alias("counterparty")) for name, column in (("part", "p_name"), ("customer", "c_name"), ("supplier", "s_name"))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().select("counterparty", F.lit(False).alias("is_credit"), F.lit("Paid to").alias("direction"))
+    return cascade.classify_native(rows).select("counterparty", *cascade.VERDICT)
 
 
 def incoming_ladder(spark, sf_dir):
@@ -78,12 +88,6 @@ def _names(spark, sf_dir):
     return cascade.named(read(spark, sf_dir, "part").select(F.col("p_name").alias("counterparty"))).select("norm").union(cascade.named(pool(spark)).select("norm")).where("norm <> ''").distinct()
 
 
-def _keys(spark, sf_dir):
-    """The directory and two-word part names, as known merchants."""
-    parts = cascade.named(read(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_name").alias("counterparty"))).select(F.col("norm").alias("key"), F.lit("SHOPPING").alias("category"), F.lit(1000).cast("long").alias("place")).distinct()
-    return cascade.corpus(spark).withColumn("place", F.col("place").cast("long")).unionByName(parts).dropDuplicates(["key"])
-
-
 def _all_keys(spark, sf_dir):
     """The directory and the names of all parts, as known merchants; the directory's category holds."""
     built = cascade.corpus(spark).select("key", "category")
@@ -92,7 +96,7 @@ def _all_keys(spark, sf_dir):
 
 
 def fuzzy_anchor_pairs(spark, sf_dir):
-    return similarity.anchor_pairs(_names(spark, sf_dir), _keys(spark, sf_dir))
+    return similarity.anchor_pairs(_names(spark, sf_dir), _all_keys(spark, sf_dir))
 
 
 def fuzzy_near_tokens(spark, sf_dir):
@@ -106,7 +110,7 @@ def fuzzy_scores(spark, sf_dir):
 
 
 def fuzzy_matches(spark, sf_dir):
-    rows = cascade.classify(stmt(spark, sf_dir, fuzzy=True))
+    rows = cascade.classify(stmt(spark, sf_dir))
     return rows.where("source = 'FUZZY_MATCH'").select("row_number", "category", "confidence", "evidence")
 
 
@@ -123,7 +127,7 @@ def model_gate(spark, sf_dir):
 
 def trained_model(spark, sf_dir):
     """The cascade with a model trained on the vocabularies and the statement itself."""
-    rows = stmt(spark, sf_dir, fuzzy=True)
+    rows = stmt(spark, sf_dir)
     model, labels = ngram_model.fit(ngram_model.training_set(cascade.classify_native(rows)))
     return cascade.classify(rows, predict=ngram_model.model_layer(model, labels)).select("row_number", *cascade.VERDICT)
 
@@ -133,12 +137,11 @@ def _vectors(spark, sf_dir):
 
 
 def knn_vote(spark, sf_dir):
-    """The last 20 vectors against all others."""
+    """Every vector whose id divides by 100 against all vectors that may be neighbours, but not itself."""
     rows = _vectors(spark, sf_dir)
-    last = rows.agg(F.max("vec_id")).first()[0] - 20
-    queries = rows.where(F.col("vec_id") > last).select(F.col("vec_id").alias("query"), "vector")
-    index = vote.index_rows(rows.where(F.col("vec_id") <= last).select(F.col("vec_id").alias("item"), "label", "vector"))
-    found = vote.votes(vote.nearest(queries, index))
+    queries = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), "vector")
+    index = vote.index_rows(rows.select(F.col("vec_id").alias("item"), "label", "vector"))
+    found = vote.votes(vote.nearest(queries, index, apart=True))
     return found.select("query", "category", F.round("share", 4).alias("share"), F.round("similarity", 4).alias("similarity"), "nearest")
 
 
@@ -160,7 +163,7 @@ def fallback_rows(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = (txn_types, override_hits, exact_directory, rule_hits, incoming_ladder, classify_statement, classify_with_state, user_rule_hits, verdict_json, fuzzy_corpus, fuzzy_anchor_pairs, fuzzy_near_tokens, fuzzy_scores, fuzzy_matches, model_gate, trained_model, knn_vote, knn_index, training_set, train_report, fallback_rows)
+    found = (txn_types, override_hits, exact_directory, rule_hits, classify_names, incoming_ladder, classify_statement, classify_with_state, user_rule_hits, verdict_json, fuzzy_corpus, fuzzy_anchor_pairs, fuzzy_near_tokens, fuzzy_scores, fuzzy_matches, model_gate, trained_model, knn_vote, knn_index, training_set, train_report, fallback_rows)
     return {f.__name__: f for f in found}
 
 
@@ -175,8 +178,8 @@ def oracle_sql() -> dict:
     verdict = "category, source, confidence, needs_review, txn_type, normalized_merchant, evidence"
     weak = oracle.strings(fixed.WEAK_ANCHORS)
     names_sql = (
-        "with " + ",".join([oracle.vocabularies(), oracle.pool_and_stmt(), "src as (select counterparty, 0 as part from pool union all select p_name, case when p_partkey % 5 = 0 then 2 else 1 end from part)", oracle.named("src")])
-        + f""", needles as (select distinct norm from named where norm <> ''), known as (select key from directory union select norm from named where part = 2 and norm <> ''),
+        "with " + ",".join([oracle.vocabularies(), oracle.pool_and_stmt(), "src as (select counterparty, 0 as part from pool union all select p_name, 1 from part)", oracle.named("src")])
+        + f""", needles as (select distinct norm from named where norm <> ''), known as (select key from directory union select norm from named where part = 1 and norm <> ''),
 a as (select distinct norm, unnest(string_split(norm, ' ')) as t from needles), b as (select distinct key, unnest(string_split(key, ' ')) as t from known)
 select distinct a.norm, b.key from a join b on a.t = b.t where length(a.t) >= 4 and not list_contains({weak}, a.t)"""
     )
@@ -190,9 +193,13 @@ select distinct a.norm, b.key from a join b on a.t = b.t where length(a.t) >= 4
         "exact_directory": both + "select s.row_number, v.directory_ as category from stmt s join verdicts v on s.idx = v.idx",
         "rule_hits": p + "select s.row_number, v.rule_pattern as pattern, v.rule_category as category from stmt s join verdicts v on s.idx = v.idx",
         "incoming_ladder": p + "select row_number, category, confidence, needs_review, evidence from classified where txn_type = 'MONEY_RECEIVED'",
-        "classify_statement": p + f"select row_number, counterparty, {verdict} from classified",
+        "classify_statement": oracle.statement_prelude(fuzzy=True) + f"select row_number, counterparty, {verdict} from classified",
+        "fuzzy_matches": oracle.statement_prelude(fuzzy=True) + "select row_number, category, confidence, evidence from classified where source = 'FUZZY_MATCH'",
         "classify_with_state": both + f"select row_number, {verdict} from classified",
         "user_rule_hits": both + f", hits as (select *, case when source = 'USER_OVERRIDE' or norm = '' then null {rule_cases} end as h from verdicts) select s.row_number, h[1] as category, 0.92::double as confidence, 'PAYMENT_TO_MERCHANT' as txn_type, 'user rule: ''' || h[2] || '''' as evidence from stmt s join hits v on s.idx = v.idx where h is not null",
+        "classify_names": "with "
+        + ",".join([oracle.vocabularies(), "names as (select counterparty, false as is_credit, 'Paid to' as direction from (select p_name as counterparty from part union select c_name from customer union select s_name from supplier))", oracle.named("names"), oracle.flags_and_verdicts()])
+        + f" select counterparty, {verdict} from verdicts",
         "verdict_json": p + "select row_number, cast(to_json({'category': category, 'source': source, 'confidence': confidence, 'needsReview': needs_review, 'txnType': txn_type, 'normalizedMerchant': normalized_merchant, 'evidence': evidence}) as varchar) as verdict from classified",
         "fuzzy_corpus": f"with {oracle.vocabularies()}, {given} select coalesce(d.key, t.key) as key, coalesce(t.category, d.category) as category from directory d full outer join taught t on d.key = t.key",
         "fuzzy_anchor_pairs": names_sql,
@@ -202,8 +209,8 @@ select distinct a.norm, b.key from a join b on a.t = b.t where length(a.t) >= 4
   when asked then (category, source, confidence, needs_review, case when evidence in ('no layer matched', 'short non-commercial name, likely a person') then evidence || {hint} else evidence end)
   else (category, source, confidence, needs_review, evidence) end as w from g)
 select s.row_number, w[1] as category, w[2] as source, w[3] as confidence, w[4] as needs_review, m.txn_type, m.normalized_merchant, w[5] as evidence from stmt s join m on s.idx = m.idx""",
-        "knn_vote": """with e as (select vec_id, embedding::double[] as v, cast(label as varchar) as label from embeddings), top as (select max(vec_id) - 20 as last from e),
-pairs as (select q.vec_id as query, i.vec_id as item, i.label, list_dot_product(q.v, i.v) as similarity from e q, e i, top where q.vec_id > last and i.vec_id <= last),
+        "knn_vote": """with e as (select vec_id, embedding::double[] as v, cast(label as varchar) as label from embeddings),
+pairs as (select q.vec_id as query, i.vec_id as item, i.label, list_dot_product(q.v, i.v) as similarity from e q, e i where q.vec_id % 100 = 0 and i.vec_id <> q.vec_id),
 ranked as (select *, row_number() over (partition by query order by similarity desc, item) as place from pairs), near as (select * from ranked where place <= 5),
 per as (select query, label, sum(greatest(similarity, 0)) as weight, min(place) as first from near group by query, label),
 shares as (select *, weight / sum(weight) over (partition by query) as share from per),

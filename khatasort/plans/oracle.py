@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed, vocabulary
-from .statement import FUZZY_ROW, POOL
+from .statement import FUZZY_ROW, FUZZY_VERDICT, POOL
 
 
 def quoted(text: str) -> str:
@@ -65,7 +65,7 @@ def pool_and_stmt() -> str:
     return f"""
 pool(idx, counterparty, direction, is_credit, truth) as (values {rows}),
 stmt as (select p.idx, o_orderkey as row_number, p.counterparty, p.direction, p.is_credit, o_totalprice as amount, o_orderdate as occurred_at, 'T' || o_orderkey as transaction_id, p.truth
-  from orders join pool p on o_orderkey % {len(POOL)} = p.idx where p.idx <> {FUZZY_ROW})"""
+  from orders join pool p on o_orderkey % {len(POOL)} = p.idx)"""
 
 
 def flags_and_verdicts(source: str = "named", out: str = "verdicts", override: str = "null::varchar", known: str = "null::varchar") -> str:
@@ -116,14 +116,22 @@ def flags_and_verdicts(source: str = "named", out: str = "verdicts", override: s
 {out} as (select * exclude (k, v), v[1] as category, v[2] as source, cast(v[3] as double) as confidence, v[4] as needs_review, v[5] as evidence, norm as normalized_merchant from {out}_v)"""
 
 
-def statement_prelude(override: str = "null::varchar", known: str = "null::varchar", extra: str = "") -> str:
-    """All views: verdicts has a row a pool entry, classified a row a transaction."""
+def with_fuzzy(verdicts: str = "verdicts") -> str:
+    """A view of verdicts in which fuzzy matching has judged its name."""
+    category, source, confidence, review, evidence = FUZZY_VERDICT
+    name = f"counterparty = {quoted(POOL[FUZZY_ROW][0])}"
+    cases = {"category": quoted(category), "source": quoted(source), "confidence": f"{confidence}::double", "needs_review": str(review).lower(), "evidence": quoted(evidence)}
+    return f"(select * replace ({', '.join(f'case when {name} then {v} else {c} end as {c}' for c, v in cases.items())}) from {verdicts})"
+
+
+def statement_prelude(override: str = "null::varchar", known: str = "null::varchar", extra: str = "", fuzzy: bool = False) -> str:
+    """All views: verdicts has a row a pool entry, classified a row a transaction; fuzzy: with that layer's verdict."""
     return (
         "with "
         + ",".join([vocabularies(), pool_and_stmt(), *([extra] if extra else []), named("pool"), flags_and_verdicts(override=override, known=known)])
-        + """,
+        + f""",
 classified as (select s.*, v.category, v.source, v.confidence, v.needs_review, v.txn_type, v.normalized_merchant, v.evidence, v.canon, v.raw
-  from stmt s join verdicts v on s.idx = v.idx)
+  from stmt s join {with_fuzzy() if fuzzy else "verdicts"} v on s.idx = v.idx)
 """
     )
 

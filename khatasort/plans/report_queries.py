@@ -137,7 +137,7 @@ def silent_errors(spark, sf_dir):
 
 
 def ablation(spark, sf_dir):
-    rows = stmt(spark, sf_dir, fuzzy=True)
+    rows = stmt(spark, sf_dir)
     configs = {"native layers": {"fuzzy": False}, "+ fuzzy match": {"fuzzy": True}}
     return _rounded(scoring.ablation(lambda **layers: cascade.classify(rows, **layers), _labels(spark, sf_dir), configs))
 
@@ -189,7 +189,7 @@ merchants as (select merchant, count(*) as n, median(amount) as median_amount, {
         "web_summary": p + f" select count(*) filter (where needs_review) as needs_review, count(*) filter (where category = 'OTHER') as other, count(distinct normalized_merchant) as unique_merchants, {listed('category')} as by_category, {listed('source')} as by_source from classified",
         "merchant_map": "with "
         + ",".join([oracle.vocabularies(), oracle.pool_and_stmt(), oracle.named("pool", out="pool_n"), "keys as (select case when norm <> '' then norm else n.counterparty end as key, s.counterparty, count(*) as n from stmt s join pool_n n on s.idx = n.idx group by 1, 2)", "best as (select max_by(counterparty, (n, counterparty)) as counterparty, false as is_credit, 'Paid to' as direction from keys group by key)", oracle.named("best"), oracle.flags_and_verdicts()])
-        + " select counterparty as merchant, category, needs_review from verdicts",
+        + f" select counterparty as merchant, category, needs_review from {oracle.with_fuzzy()}",
         "merchant_names": p + keyed + " select min_by(counterparty, row_number) as merchant, case when flow = 'IN' then 'CREDIT' else 'DEBIT' end as type, min(row_number) as first_row from keyed group by key, flow",
         "label_sheet": p + keyed + f" select key, flow, min_by(counterparty, row_number) as example, count(*) as count, printf('%.2f', {total()}) as total_amount, min_by(direction, row_number) as direction, '' as true_category, '' as notes from keyed group by key, flow",
         "result_sheet": p

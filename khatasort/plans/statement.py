@@ -49,8 +49,9 @@ POOL = (
     ("", "Paid", False, "OTHER"),
     ("Galaxy_Cafe_And_Bakery", "Paid to", False, "FOOD_AND_DINING"),
 )
-#: The row that only fuzzy matching decides, which SQL can't express.
-FUZZY_ROW = 32
+#: Fixed values for SQL twins of queries with fuzzy matching, which SQL can't express: the one pool row that it decides, and its verdict (category,
+#: source, confidence, needs_review, evidence).  A test holds them against a plain loop over the directory.
+FUZZY_ROW, FUZZY_VERDICT = 32, ("SHOPPING", "FUZZY_MATCH", 0.8879, False, "~ 'bonkers corner'")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +62,9 @@ def pool(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(POOL)], "idx int, counterparty string, direction string, is_credit boolean, truth string")
 
 
-def stmt(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
-    """The derived statement, without the fuzzy row unless asked for.  The pool has 36 rows, so it is broadcast."""
+def stmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived statement: all orders.  The pool has 36 rows, so it is broadcast."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate").withColumn("idx", (F.col("o_orderkey") % len(POOL)).cast("int"))
-    if not fuzzy:
-        orders = orders.where(F.col("idx") != FUZZY_ROW)
     return orders.join(F.broadcast(pool(spark)), "idx").select(
         "idx", F.col("o_orderkey").alias("row_number"), "counterparty", "direction", "is_credit", F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("occurred_at"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("transaction_id"), "truth"
     )
