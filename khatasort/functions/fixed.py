@@ -77,6 +77,7 @@ DELIMITERS = ",;\t|"
 CREDIT_MARKS = ("credit", "cr", "received", "deposit", "refund", "in")
 DEBIT_MARKS = ("debit", "dr", "paid", "sent", "withdrawal", "withdrawn", "out")
 DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "d/M/yy", "d-M-yy", "yyyy/M/d", "M/d/yyyy")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 TIME_FORMATS = ("H:m", "H:m:s", "h:m a", "h:m:s a")
 SHORT_YEAR_PIVOT = 69
 

@@ -21,6 +21,11 @@ def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+def place(rows: DataFrame) -> Column:
+    """The order of statement rows: file by file where they carry a path, then by row number."""
+    return F.struct(*(F.col(c) for c in ("path", "row_number") if c in rows.columns))
+
+
 def text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 

@@ -1,12 +1,15 @@
 """The learning loop as table operations: import, remember, correct, reclassify.
 
 State is four tables of the columns that TRANSACTIONS, MERCHANTS, OVERRIDES and RULES name.  Operations take frames and
-return the frames that take their place; ``Store`` keeps them as Parquet folders (a new version is written beside the old
-one and then takes its name, so a failed run leaves the old state).
+return the frames that take their place; ``Store`` keeps each as one or more Parquet folders that a small file names.  An import
+adds a folder of its new rows; a correction changes the overrides, which are laid over the transactions as they are read.  New folders
+are written first, then a new version of that file takes the place of the old one in one step, so a run that stops anywhere
+leaves either the old state or the new one.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,7 +41,7 @@ def rule_list(rules: DataFrame) -> list[tuple[str, str, str]]:
 def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows whose transaction_id is neither stored nor on an earlier row; rows without one are always new."""
     known = existing.where("transaction_id is not null").select(F.col("transaction_id").alias("known_id")).distinct()
-    order = Window.partitionBy("transaction_id").orderBy("row_number")
+    order = Window.partitionBy("transaction_id").orderBy(text.place(rows))
     has_id = F.coalesce(F.col("transaction_id"), F.lit("")) != ""
     first = rows.where(has_id).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").join(known, F.col("transaction_id") == F.col("known_id"), "left_anti")
     return first.unionByName(rows.where(~has_id))
@@ -47,7 +50,7 @@ def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
 def represented(rows: DataFrame) -> DataFrame:
     """Each row with the spelling that decides for it: the first of its merchant key (or text, without a key), flag and direction in this import."""
     rows = named(rows).withColumn("memo", F.when(F.col("norm") != "", F.col("norm")).otherwise(F.concat(F.lit("\x00raw:"), F.col("counterparty"))))
-    first = rows.groupBy("memo", "is_credit", "direction").agg(F.min_by("counterparty", "row_number").alias("representative"))
+    first = rows.groupBy("memo", "is_credit", "direction").agg(F.min_by(F.col("counterparty"), text.place(rows)).alias("representative"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("memo", "is_credit", "direction")]
     first = first.toDF("_memo", "_is_credit", "_direction", "representative")
     return rows.join(first, same).drop("_memo", "_is_credit", "_direction", "plain", "norm", "memo", "canon", "d")
@@ -62,7 +65,7 @@ def classified_import(rows: DataFrame, overrides: DataFrame, learned: DataFrame,
 def stored(classified: DataFrame, first_id: int = 1) -> DataFrame:
     """Rows of TRANSACTIONS; ids follow the row numbers, file by file where rows carry a path."""
     if "path" in classified.columns:
-        files = classified.select("path").distinct().select(F.col("path").alias("_path"), (F.row_number().over(Window.orderBy("path")) - 1).alias("_file"))  # one row a file
+        files = classified.select("path").distinct().select(F.col("path").alias("_path"), (F.row_number().over(Window.orderBy("path")) - 1).alias("_file"))  # one short row a file of an import
         classified = classified.join(files, F.col("path").eqNullSafe(F.col("_path")))
         first_id = F.lit(first_id) + F.col("_file").cast("long") * (1 << 33)
     empty_as_null = lambda c: F.nullif(F.col(c), F.lit(""))
@@ -81,7 +84,7 @@ def learnable() -> Column:
 def remembered(merchants: DataFrame, classified: DataFrame) -> DataFrame:
     """MERCHANTS after an import: counts go up, the last row's verdict wins unless the user decided, the first spelling stays."""
     seen = classified.where(learnable() & (F.col("normalized_merchant") != "")).groupBy("normalized_merchant").agg(
-        F.count("*").alias("n"), F.max_by(F.struct("category", "source", "confidence"), F.col("row_number")).alias("last"), F.min_by("counterparty", "row_number").alias("display")
+        F.count("*").alias("n"), F.max_by(F.struct("category", "source", "confidence"), text.place(classified)).alias("last"), F.min_by(F.col("counterparty"), text.place(classified)).alias("display")
     )
     joined = merchants.join(seen, F.col("normalized_name") == F.col("normalized_merchant"), "full_outer")
     kept = F.col("last").isNull() | (F.coalesce(F.col("source"), F.lit("")) == "USER_OVERRIDE")
@@ -142,6 +145,10 @@ def reclassify_diff(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total"), F.count_if(changed).alias("recategorized"), F.count_if(~changed & (F.col("source") != F.col("old_source"))).alias("source_changed"))
 
 
+#: The file that names each table's folders.
+CURRENT = "CURRENT.json"
+
+
 class Store:
     """The four tables as Parquet folders."""
 
@@ -155,19 +162,49 @@ class Store:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def table(self, name: str) -> DataFrame:
-        if not self._fs.exists(self._path(name)):
+    def _named(self) -> dict[str, list[str]]:
+        """The folders of each table, by the newest version of the naming file."""
+        if not self._fs.exists(self._path(CURRENT)):
+            return {}
+        stream = self._fs.open(self._path(CURRENT))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _name(self, folders: dict[str, list[str]]) -> None:
+        passing = self._path(f".{CURRENT}-{uuid.uuid4().hex}")
+        out = self._fs.create(passing)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(self._fs.makeQualified(passing), self._fs.makeQualified(self._path(CURRENT)), options)
+
+    def _raw(self, name: str) -> DataFrame:
+        folders = self._named().get(name, [])
+        if not folders:
             return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(self.TABLES[name]).parquet(*(f"{self.folder}/{x}" for x in folders))
 
-    def replace(self, **frames: DataFrame) -> None:
-        """Write all new versions first, then put them in place."""
-        mark = uuid.uuid4().hex
-        for name, frame in frames.items():
-            frame.write.parquet(f"{self.folder}/.{name}-{mark}")
-        for name in frames:
-            self._fs.delete(self._path(name), True)
-            self._fs.rename(self._path(f".{name}-{mark}"), self._path(name))
+    def table(self, name: str) -> DataFrame:
+        """A table as it stands; transactions with the overrides laid over them."""
+        if name != "transactions":
+            return self._raw(name)
+        fixes = self._raw("overrides").select(F.col("normalized_merchant").alias("fix_norm"), F.col("category").alias("fix_category"))
+        return corrected(self._raw(name), fixes)
+
+    def replace(self, add: dict[str, DataFrame] | None = None, **frames: DataFrame) -> None:
+        """Write new versions of some tables, and further rows of others, then name them all at once; folders that nothing names any more go last."""
+        mark, named = uuid.uuid4().hex, self._named()
+        old = {x for folders in named.values() for x in folders}
+        for name, frame in {**frames, **(add or {})}.items():
+            frame.write.parquet(f"{self.folder}/{name}-{mark}")
+            named[name] = [*(() if name in frames else named.get(name, ())), f"{name}-{mark}"]
+        self._name(named)
+        for x in old - {x for folders in named.values() for x in folders}:
+            self._fs.delete(self._path(x), True)
 
     def state(self) -> tuple[DataFrame, DataFrame, list]:
         return state_of(self.table("overrides"), "normalized_merchant"), state_of(self.table("merchants"), "normalized_name"), rule_list(self.table("rules"))
@@ -179,10 +216,8 @@ class Store:
         first = (old.agg(F.max("id")).first()[0] or 0) + 1
         found = classified_import(fresh, overrides, learned, rules, **layers).persist()
         stats = import_stats(rows, found).first().asDict()
-        new = {"transactions": old.unionByName(stored(found, first))}
-        if learn:
-            new["merchants"] = remembered(self.table("merchants"), found)
-        self.replace(**new)
+        new = {"merchants": remembered(self.table("merchants"), found)} if learn else {}
+        self.replace(add={"transactions": stored(found, first)}, **new)
         found.unpersist()
         return stats
 
@@ -190,7 +225,7 @@ class Store:
         fixes = corrections_of(self.spark.createDataFrame([(counterparty, category, 1)], "counterparty string, category string, n int"))
         transactions = self.table("transactions")
         updated = transactions.join(fixes, F.col("normalized_merchant") == F.col("fix_norm"), "left_semi").count()
-        self.replace(transactions=corrected(transactions, fixes), overrides=overridden(self.table("overrides"), fixes, transactions), merchants=directory_after(self.table("merchants"), fixes, transactions))
+        self.replace(overrides=overridden(self.table("overrides"), fixes, transactions), merchants=directory_after(self.table("merchants"), fixes, transactions))
         return {"updated": updated}
 
     def add_rule(self, pattern: str, category: str, match_kind: str = "phrase", priority: int = 100, note: str = "") -> None:

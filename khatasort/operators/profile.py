@@ -71,7 +71,7 @@ def merchant_label() -> Column:
 
 def merchants(rows: DataFrame) -> DataFrame:
     """A row a merchant: counts, money, spellings, and the verdict of its first row."""
-    first = F.min_by(F.struct("category", "source", "confidence", "needs_review", "evidence"), F.col("row_number"))
+    first = F.min_by(F.struct("category", "source", "confidence", "needs_review", "evidence"), text.place(rows))
     found = rows.groupBy(merchant_label().alias("merchant")).agg(
         F.count("*").alias("n"),
         F.median("amount").alias("median_amount"),
@@ -117,7 +117,7 @@ def web_summary(rows: DataFrame) -> DataFrame:
 
 
 def review_queue(rows: DataFrame, most: int = 50) -> DataFrame:
-    return rows.where("needs_review").orderBy(F.desc("amount"), "row_number").limit(most)
+    return rows.where("needs_review").orderBy(F.desc("amount"), text.place(rows)).limit(most)
 
 
 def filtered(rows: DataFrame, words: str = "", category: str | None = None, source: str | None = None, review: bool | None = None) -> DataFrame:

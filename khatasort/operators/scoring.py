@@ -26,7 +26,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def label_sheet(rows: DataFrame) -> DataFrame:
     """A blind row for each key and flow, the biggest money first."""
-    found = keyed(rows).groupBy("key", "flow").agg(F.min_by("counterparty", "row_number").alias("example"), F.count("*").alias("count"), total(F.col("amount")).alias("total"), F.min_by("direction", "row_number").alias("direction"))
+    found = keyed(rows).groupBy("key", "flow").agg(F.min_by(F.col("counterparty"), text.place(rows)).alias("example"), F.count("*").alias("count"), total(F.col("amount")).alias("total"), F.min_by(F.col("direction"), text.place(rows)).alias("direction"))
     found = found.withColumn("total_amount", F.format_string("%.2f", "total"))
     return found.orderBy(F.desc("total"), "key", "flow").select("key", "flow", "example", "count", "total_amount", "direction", F.lit("").alias("true_category"), F.lit("").alias("notes"))
 
@@ -49,7 +49,8 @@ def labelled(rows: DataFrame, labels: DataFrame, train_keys: DataFrame | None =
     else:
         known = train_keys.select(F.col("key").alias("seen_key")).distinct()
         rows = rows.join(known, F.col("key") == F.col("seen_key"), "left").withColumn("seen", F.col("seen_key").isNotNull())
-    return rows.select("row_number", "key", "flow", "counterparty", "amount", "truth", F.col("category").alias("pred"), "source", F.col("needs_review").alias("review"), "seen")
+    path = ["path"] if "path" in rows.columns else []
+    return rows.select(*path, "row_number", "key", "flow", "counterparty", "amount", "truth", F.col("category").alias("pred"), "source", F.col("needs_review").alias("review"), "seen")
 
 
 def _metrics() -> list:
@@ -91,7 +92,7 @@ def confusions(rows: DataFrame, most: int = 10) -> DataFrame:
 
 
 def silent_errors(rows: DataFrame) -> DataFrame:
-    found = rows.where("not review and pred <> truth").groupBy("key", "truth", "pred", "source").agg(F.min_by("counterparty", "row_number").alias("merchant"), F.count("*").alias("rows"), total(F.col("amount")).alias("amount"))
+    found = rows.where("not review and pred <> truth").groupBy("key", "truth", "pred", "source").agg(F.min_by(F.col("counterparty"), text.place(rows)).alias("merchant"), F.count("*").alias("rows"), total(F.col("amount")).alias("amount"))
     return found.orderBy(F.desc("amount"), "key").select("merchant", "truth", F.col("pred").alias("predicted"), "source", "rows", "amount")
 
 
@@ -106,7 +107,7 @@ def ablation(make, labels: DataFrame, configs: dict[str, dict]) -> DataFrame:
 
 def result_sheet(rows: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """A row for each merchant and flow (input, actual, predicted), the biggest money first; labels of a previous sheet are kept."""
-    found = keyed(rows).groupBy("key", "flow").agg(F.min_by("counterparty", "row_number").alias("example"), total(F.col("amount")).alias("total"), F.min_by("category", "row_number").alias("predicted"))
+    found = keyed(rows).groupBy("key", "flow").agg(F.min_by(F.col("counterparty"), text.place(rows)).alias("example"), total(F.col("amount")).alias("total"), F.min_by(F.col("category"), text.place(rows)).alias("predicted"))
     found = found.withColumn("input", F.when(F.col("flow") == "IN", F.concat("example", F.lit(" (money in)"))).otherwise(F.col("example")))
     if previous is None:
         found = found.withColumn("actual", F.lit(""))
@@ -119,5 +120,5 @@ def result_sheet(rows: DataFrame, previous: DataFrame | None = None) -> DataFram
 
 def merchant_names(rows: DataFrame) -> DataFrame:
     """Distinct merchants by key and flow, with their first spelling, in the order they first appear."""
-    found = keyed(rows).groupBy("key", "flow").agg(F.min_by("counterparty", "row_number").alias("merchant"), F.min("row_number").alias("first_row"))
-    return found.orderBy("first_row").select("merchant", F.when(F.col("flow") == "IN", "CREDIT").otherwise("DEBIT").alias("type"), "first_row")
+    found = keyed(rows).groupBy("key", "flow").agg(F.min_by(F.col("counterparty"), text.place(rows)).alias("merchant"), F.min("row_number").alias("first_row"), F.min(text.place(rows)).alias("first"))
+    return found.orderBy("first").select("merchant", F.when(F.col("flow") == "IN", "CREDIT").otherwise("DEBIT").alias("type"), "first_row")

@@ -2,7 +2,7 @@
 
 Pairs are never all formed.  A name meets a known key only through an anchor: a token of 4 letters or more in common, by
 an inverted index; or two strong tokens that are nearly equal, which share two adjacent letters (they must, at a ratio
-of 0.82 from 5 letters on), by an index of letter pairs over distinct tokens.  Only such pairs are scored, in a
+of 0.82 from 5 letters on), by an index of letter pairs over distinct tokens that is asked for a token's rarest pairs only.  Only such pairs are scored, in a
 vectorised UDF with the Ratcliff-Obershelp ratio, which no built-in function computes.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -47,11 +47,6 @@ def score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(DoubleType())
-def confidence_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: round(min(fixed.FUZZY_CAP, x), 4))
-
-
 def _tokens(frame: DataFrame, column: str, out: str, least: int) -> DataFrame:
     """Distinct (text, token) of substantive tokens."""
     tokens = F.filter(F.array_distinct(F.split(column, " ")), lambda t: (F.length(t) >= least) & ~t.isin(*fixed.WEAK_ANCHORS))
@@ -65,12 +60,31 @@ def anchor_pairs(names: DataFrame, keys: DataFrame) -> DataFrame:
     return left.join(right, F.col("token") == F.col("key_token")).select("norm", "key").distinct()
 
 
+def spare_pairs(length: Column) -> Column:
+    """How many distinct letter pairs a token of this length can have that its partner lacks, at a ratio of NEAR_RATIO or more and lengths at most 2 apart.
+
+    If m letters match, the token has u = length - m others and its partner v = partner - m.  A pair of the token is lost only if it touches one
+    of the u (2 pairs each) or if one of the v stands between its letters, so at most 2 u + v are.
+    """
+    lost = lambda other: 2 * length + other - 3 * F.ceil((length + other) * fixed.NEAR_RATIO / 2 - 1e-9)
+    return F.greatest(F.lit(0), *(F.when(length + d >= 5, lost(length + d)) for d in range(-2, 3))).cast("int")
+
+
 def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of distinct tokens of 5 letters or more, lengths at most 2 apart, ratio NEAR_RATIO or more."""
+    """(a, b) of distinct tokens of 5 letters or more, lengths at most 2 apart, ratio NEAR_RATIO or more.
+
+    A token looks up only its rarest letter pairs, one more than it can spare, so common pairs are hardly ever asked for; each such key is further split by length.  The
+    table of pairs has at most one row for each two letters.
+    """
     pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
+    b = right.where(F.length("b") >= 5).select("b", F.length("b").alias("b_length"), F.explode(pairs(F.col("b"))).alias("other"))
+    often = b.groupBy(F.col("other").alias("common")).agg(F.count("*").alias("n"))
     a = left.where(F.length("a") >= 5).select("a", F.explode(pairs(F.col("a"))).alias("pair"))
-    b = right.where(F.length("b") >= 5).select("b", F.explode(pairs(F.col("b"))).alias("other"))
-    met = a.join(b, F.col("pair") == F.col("other")).where("abs(length(a) - length(b)) <= 2").select("a", "b").distinct()
+    a = a.join(often, F.col("pair") == F.col("common"), "left").groupBy("a").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("pairs"))
+    rarest = F.slice(F.col("pairs"), F.lit(1), spare_pairs(F.length("a")) + 1)
+    lengths = F.array(*(F.length("a") + d for d in range(-2, 3)))
+    a = a.select("a", F.explode(rarest).alias("x"), lengths.alias("lengths")).select("a", "x.pair", F.explode("lengths").alias("length"))
+    met = a.join(b, (F.col("pair") == F.col("other")) & (F.col("length") == F.col("b_length"))).select("a", "b").distinct()
     return met.withColumn("ratio", ratio_udf("a", "b")).where(F.col("ratio") >= fixed.NEAR_RATIO)
 
 
@@ -96,4 +110,4 @@ def fuzzy_match(names: DataFrame, corpus: DataFrame) -> DataFrame:
     rivals = pairs.select("norm", F.col("score").alias("rival_score"), F.col("category").alias("rival_category"))
     clash = best.join(rivals, "norm").where((F.col("best.score") - F.col("rival_score") < fixed.FUZZY_MARGIN) & (F.col("rival_category") != F.col("best.category"))).select("norm").distinct()
     clear = best.join(clash, "norm", "left_anti")
-    return clear.select("norm", F.struct(F.col("best.category").alias("category"), confidence_udf("best.score").alias("confidence"), F.col("best.key").alias("key")).alias("fuzzy"))
+    return clear.select("norm", F.struct(F.col("best.category").alias("category"), F.round(F.least(F.lit(fixed.FUZZY_CAP), F.col("best.score")), 4).alias("confidence"), F.col("best.key").alias("key")).alias("fuzzy"))

@@ -124,26 +124,41 @@ def cell(role: str) -> Column:
     return F.coalesce(F.get(F.col("cells"), F.try_element_at("roles", F.lit(role))), F.lit(""))
 
 
-def parse_date(s: Column) -> Column:
-    """The first format that fits, then ISO (an offset is dropped: the local time counts)."""
-    s = text.stripped(s)
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """The day as a timestamp at midnight; null if there is no such day.  A cast fails quietly, unlike a parser."""
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date").cast("timestamp_ntz")
 
-    def of(fmt: str) -> Column:
-        at = F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
-        if fmt.endswith("yy") and not fmt.endswith("yyyy"):
-            at = F.when(F.pmod(F.year(at), F.lit(100)) >= fixed.SHORT_YEAR_PIVOT, at - F.expr("INTERVAL '100' YEAR")).otherwise(at)
-        return at
 
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}){0,2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.regexp_replace(s, r"(Z|(?<=:\d\d)[+-]\d{2}:?\d{2})$", ""))
+def parse_date(s: Column) -> Column:
+    """The first of DATE_FORMATS that fits, told by the text's shape, then ISO (an offset is dropped: the local time counts)."""
+    s = text.stripped(s)
+    part = lambda i: F.get(F.split(s, "[-/, ]+"), F.lit(i))
+    named = lambda c: F.try_element_at(F.create_map(*(F.lit(x) for i, m in enumerate(fixed.MONTHS) for x in (m, str(i + 1)))), F.lower(c))
+    short = part(2).try_cast("int")
+    short = F.when(short >= fixed.SHORT_YEAR_PIVOT, 1900 + short).otherwise(2000 + short).cast("string")
+    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}){0,2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"), F.regexp_replace(s, r"(Z|(?<=:\d\d)[+-]\d{2}:?\d{2})$", ""))
     iso = F.when(iso.rlike(r"[T ]\d{2}$"), F.concat(iso, F.lit(":00"))).otherwise(iso)
-    return F.coalesce(*map(of, fixed.DATE_FORMATS), F.expr("null").cast("timestamp_ntz"), F.try_to_timestamp(iso).cast("timestamp_ntz"))
+    return (
+        F.when(s.rlike(r"^\d{4}(-\d{1,2}-|/\d{1,2}/)\d{1,2}$"), _date(part(0), part(1), part(2)))
+        .when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), _date(part(2), part(1), part(0)))
+        .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(_date(part(2), part(1), part(0)), _date(part(2), part(0), part(1))))
+        .when(s.rlike(r"^\d{1,2}(-[A-Za-z]{3}-| [A-Za-z]{3} )\d{4}$"), _date(part(2), named(part(1)), part(0)))
+        .when(s.rlike(r"^[A-Za-z]{3} \d{1,2}, \d{4}$"), _date(part(2), named(part(0)), part(1)))
+        .when(s.rlike(r"^\d{1,2}(-\d{1,2}-|/\d{1,2}/)\d{2}$"), _date(short, part(1), part(0)))
+        .otherwise(F.try_to_timestamp(iso).cast("timestamp_ntz"))
+    )
 
 
 def parse_time(s: Column) -> Column:
     """hour and minute, or null."""
     s = F.upper(text.stripped(s))
-    at = F.coalesce(*(F.try_to_timestamp(s, F.lit(fmt)) for fmt in fixed.TIME_FORMATS))
-    return F.when(at.isNotNull(), F.struct(F.hour(at).alias("hour"), F.minute(at).alias("minute")))
+    part = lambda i: F.get(F.split(s, "[: ]"), F.lit(i)).try_cast("int")
+    half = s.rlike(r"^\d{1,2}:\d{1,2}(:\d{1,2})? (AM|PM)$")
+    whole = s.rlike(r"^\d{1,2}:\d{1,2}(:\d{1,2})?$")
+    fits = (part(1) < 60) & (F.coalesce(part(2), F.lit(0)) < 60)
+    of = lambda hour: F.struct(hour.alias("hour"), part(1).alias("minute"))
+    late = F.when(s.endswith("PM"), 12).otherwise(0)
+    return F.when(whole & fits & (part(0) < 24), of(part(0))).when(half & fits & part(0).between(1, 12), of(part(0) % 12 + late))
 
 
 def merged(date: Column, time: Column) -> Column:
@@ -188,13 +203,11 @@ def dedupe_key() -> Column:
 def parse(cells: DataFrame, dedupe: bool = True) -> DataFrame:
     """Every row of a scan with its fields, ``problem`` (null for a good row) and ``is_duplicate`` (an equal row stands before it in its file)."""
     has = lambda role: F.try_element_at("roles", F.lit(role)).isNotNull()
-    rows = cells.select(
-        "path", "headers", "roles", "row_number", "cells",
-        cell("counterparty").alias("counterparty"), cell("direction").alias("direction"), cell("transaction_id").alias("transaction_id"), cell("utr").alias("utr"), cell("account_last4").alias("account_last4"),
-        merged(parse_date(cell("date")), parse_time(cell("time"))).alias("occurred_at"),
-        sign(cell("debit"), cell("credit"), cell("amount"), cell("type"), cell("account_flow"), cell("direction"), has("debit") | has("credit")).alias("_sign"),
-    )
-    rows = rows.withColumns({"amount": F.col("_sign.amount"), "is_credit": F.col("_sign.is_credit")}).drop("_sign")
+    fields = ("counterparty", "direction", "transaction_id", "utr", "account_last4")
+    rows = cells.select("path", "headers", "roles", "row_number", "cells", *(cell(c).alias(c) for c in fields))
+    kind = sign(cell("debit"), cell("credit"), cell("amount"), cell("type"), cell("account_flow"), cell("direction"), has("debit") | has("credit"))
+    rows = text.computed(rows, {"_date": parse_date(cell("date")), "_time": parse_time(cell("time")), "_sign": kind})  # parsed once, whatever is asked of them
+    rows = text.computed(rows, {"occurred_at": merged(F.col("_date"), F.col("_time")), "amount": F.col("_sign.amount"), "is_credit": F.col("_sign.is_credit")}).drop("_date", "_time", "_sign")
     rows = rows.withColumn("problem", problem())
     if not dedupe:
         return rows.withColumn("is_duplicate", F.lit(False))
