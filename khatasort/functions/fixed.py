@@ -1,7 +1,6 @@
 """What results depend on, stated as they are, in their natural order.  Nothing here is computed.
 
-The two large vocabularies (479 keyword rules, 271 commercial words) and the 101 directory keys are a parameter: see
-``vocabulary``.
+The keyword rules, commercial words and directory keys are files of ``data``: see ``vocabulary``.
 """
 
 # --- categories, in taxonomy order

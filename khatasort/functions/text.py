@@ -195,7 +195,3 @@ def grams(column: Column) -> Column:
 
 def bucket(gram: Column) -> Column:
     return F.pmod(F.crc32(F.encode(gram, "UTF-8")), F.lit(fixed.FEATURES)).cast("int")
-
-
-def money(column: Column) -> Column:
-    return F.concat(F.lit("₹"), F.format_number(column, 0))

@@ -1,6 +1,6 @@
 """A small local HTTP API over a store: one session, one request at a time.
 
-GET /api/categories, /api/state; POST /api/classify, /api/correct (JSON), /api/categorize, /api/merchants (CSV).  While it
+GET / (the paths), /api/categories, /api/state; POST /api/classify, /api/correct (JSON), /api/categorize, /api/merchants (CSV).  While it
 listens on a loopback address it answers loopback hosts only.
 """
 
@@ -12,11 +12,14 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.sql import functions as F
+
 from .functions import fixed
 from .operators import profile
 from .operators.learning import Store
 from .sources import export
-from .sources.statement import good, parse, scan
+from .operators.cascade import VERDICT
+from .sources.statement import good, metrics, parse, problem_counts, scan
 
 LOOPBACK = ("127.0.0.1", "localhost", "::1")
 MOST_BYTES = 32 << 20
@@ -64,6 +67,8 @@ class Api:
         if path == "/api/state":
             with self._lock:
                 return self.store.counts()
+        if path == "/":
+            return {"service": "khatasort", "get": ["/api/categories", "/api/state"], "post": sorted(TYPES)}
         raise Refused(404, "no such path")
 
     def post(self, path: str, body: bytes):
@@ -78,19 +83,52 @@ class Api:
                 raise Refused(400, "the body isn't an object")
         with self._lock:
             if path == "/api/classify":
-                return self.store.classify(str(given.get("text", "")), bool(given.get("isCredit")), str(given.get("direction", "")), **self.layers)
+                if not (name := str(given.get("text") or "").strip()):
+                    raise Refused(400, "text is needed")
+                found = self.store.classify(name, bool(given.get("isCredit")), str(given.get("direction") or ""), **self.layers)
+                return {"input": name} | {camel(k): v for k, v in found.items()}
             if path == "/api/correct":
                 if given.get("category") not in fixed.CATEGORIES or not given.get("counterparty"):
                     raise Refused(422, "counterparty and a known category are needed")
                 return self.store.record_correction(given["counterparty"], given["category"])
+            if not body:
+                raise Refused(400, "the upload is empty")
             overrides, learned, _ = self.store.state()
             found = self._rows(body, False)
             if path == "/api/merchants":
                 return _csv(export.merchant_map(good(found), overrides, learned, **self.layers).select("merchant", "category"))
-            judged = export.categorized(found, overrides, learned, **self.layers).persist()
-            first = judged.select("headers").first()
-            summary = profile.web_summary(judged.where("status = 'ok'")).first().asDict()
-            return {"summary": export.export_summary(judged).first().asDict() | {k: json.loads(v) if k.startswith("by_") else v for k, v in summary.items()}, "csv": _csv(export.export_rows(judged, first.headers if first else []))}
+            return self._categorized(found, export.categorized(found, overrides, learned, **self.layers).persist())
+
+    def _categorized(self, found, judged) -> dict:
+        """Summary, counts, rows and the finished CSV of one upload (of at most MOST_BYTES)."""
+        ok = judged.where("status = 'ok'")
+        summary = profile.web_summary(ok).first().asDict()
+        counts, total = export.export_summary(judged).first().asDict(), metrics(found).first().asDict()
+        given = ("counterparty", "direction", "amount", "is_credit")
+        rows = ok.orderBy("row_number").select(F.date_format("occurred_at", "yyyy-MM-dd").alias("date"), *given, *VERDICT).toLocalIterator()
+        first = judged.select("headers").first()
+        headers = first.headers if first else []
+        return {
+            "summary": {
+                "inputRows": total["total_rows"],
+                "classified": counts["classified"],
+                "needsReview": summary["needs_review"],
+                "other": summary["other"],
+                "skipped": total["skipped"],
+                "problems": {r.problem: r["n"] for r in problem_counts(found).collect()},
+                "uniqueMerchants": summary["unique_merchants"],
+            },
+            "byCategory": json.loads(summary["by_category"] or "{}"),
+            "bySource": json.loads(summary["by_source"] or "{}"),
+            "columns": list(fixed.VERDICT_COLUMNS),
+            "rows": [{camel(k): v for k, v in r.asDict().items()} for r in rows],
+            "csv": _csv(export.export_rows(judged, headers)),
+        }
+
+
+def camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(x.title() for x in rest)
 
 
 def handler_of(api: Api, loopback_only: bool):
@@ -106,10 +144,13 @@ def handler_of(api: Api, loopback_only: bool):
                 status, body = err.status, {"error": str(err)}
             except Exception as err:
                 status, body = 500, {"error": type(err).__name__}
+            if self.path == "/favicon.ico" and status == 404:
+                status, body = 204, ""
             data = body.encode() if isinstance(body, str) else json.dumps(body, ensure_ascii=False).encode()
             self.send_response(status)
             self.send_header("Content-Type", "text/csv" if isinstance(body, str) else "application/json")
             self.send_header("Content-Length", str(len(data)))
+            self.send_header("X-Content-Type-Options", "nosniff")
             self.end_headers()
             self.wfile.write(data)
 

@@ -7,7 +7,7 @@ import pytest
 from khatasort.operators.learning import Store
 from khatasort.serve import server
 
-STATEMENT = "date,counterparty,type,amount\n2026-01-02,Sun Kirana,DEBIT,10\n2026-01-02,Asha Verma,DEBIT,10\n"
+STATEMENT = "date,counterparty,type,amount\n2026-01-02,Sun Kirana,DEBIT,10\n2026-01-02,Asha Verma,DEBIT,10\nsoon,KFC,DEBIT,10\n"
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,10 @@ def test_answers(ask):
     assert ask("GET", "/api/categories")[1][0] == "GROCERIES"
     assert ask("POST", "/api/classify", json.dumps({"text": "Sun Kirana"}))[1]["category"] == "GROCERIES"
     status, found = ask("POST", "/api/categorize", STATEMENT, "text/csv")
-    assert status == 200 and found["summary"]["classified"] == 2 and found["csv"].count("\n") == 3
+    assert status == 200 and found["summary"]["classified"] == 2 and found["csv"].count("\n") == 4
+    assert found["summary"] == {"inputRows": 3, "classified": 2, "needsReview": 0, "other": 0, "skipped": 1, "problems": {"unparseable date": 1}, "uniqueMerchants": 2}
+    assert found["byCategory"] == {"GROCERIES": 1, "PERSONAL_TRANSFER": 1} and found["rows"][0]["date"] == "2026-01-02" and found["rows"][0]["needsReview"] is False
+    assert ask("GET", "/")[1]["service"] == "khatasort" and ask("GET", "/favicon.ico")[0] == 204
     assert ask("POST", "/api/correct", json.dumps({"counterparty": "Asha Verma", "category": "HEALTH"})) == (200, {"updated": 0})
     assert "Asha Verma,HEALTH" in ask("POST", "/api/merchants", STATEMENT, "text/csv")[1]
     assert ask("GET", "/api/state")[1] == {"overrides": 1, "learned": 1}
@@ -42,6 +45,8 @@ def test_answers(ask):
         (("GET", "/nowhere"), 404),
         (("POST", "/api/classify", "{"), 400),
         (("POST", "/api/classify", "[]"), 400),
+        (("POST", "/api/classify", '{"text": " "}'), 400),
+        (("POST", "/api/categorize", "", "text/csv"), 400),
         (("POST", "/api/classify", "{}", "text/plain"), 415),
         (("POST", "/api/correct", "{}"), 422),
         (("POST", "/api/categorize", "a,b\n1,2\n", "text/csv"), 422),

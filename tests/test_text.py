@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from khatasort.functions import text, vocabulary
+from khatasort.functions import text
 
 
 def one(spark, function, value):
@@ -60,12 +60,3 @@ def test_grams_and_buckets(spark):
     assert row.g == ["w:a", " a", "a ", " a ", "w:kfc", " k", "kf", "fc", "c ", " kf", "kfc", "fc ", " kfc", "kfc "]
     assert row.b == [zlib.crc32(g.encode()) % 16384 for g in row.g]
     assert one(spark, text.grams, "") == []
-
-
-def test_vocabulary_sizes_and_other_files(tmp_path):
-    v = vocabulary.load()
-    assert (len(v.rules), len(v.directory), len(v.commercial)) == (479, 101, 271)
-    own = tmp_path / "own.md"
-    own.write_text("### A.1 rules\n| 1 | HEALTH | - | `~path lab`, `=clinic` |\n### A.2 keys\n| HEALTH | - | `my clinic` |\n### A.3 words\nclinic lab\n")
-    v = vocabulary.load(str(own))
-    assert v.rules == (("path lab", "HEALTH", "phrase"), ("clinic", "HEALTH", "token")) and v.directory == (("my clinic", "HEALTH"),) and v.commercial == ("clinic", "lab")
