@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import fixed
+from ..functions import fixed, text
 
 BLOCK_ROWS = 20_000
 
@@ -110,6 +110,15 @@ def read_index(spark, folder: str) -> DataFrame:
     return spark.read.parquet(folder).select(F.col("text").alias("item"), "label", F.col("embedding").alias("vector"))
 
 
+def embed_grams(names: DataFrame, width: int = 256) -> DataFrame:
+    """norm and vector of hashed n-gram counts, length 1: an embedder for where no sentence model is installed."""
+    buckets = F.transform(text.grams(F.col("norm")), lambda g: F.pmod(text.bucket(g), F.lit(width)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter("_buckets", lambda b: b == i)).cast("double"))
+    length = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda total, x: total + x * x))
+    found = text.computed(text.computed(names.select("norm"), {"_buckets": buckets}), {"_counts": counts})
+    return found.select("norm", F.transform("_counts", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))).alias("vector"))
+
+
 def embed_with_onnx(names: DataFrame, folder: str, batch: int = 64, most_tokens: int = 64) -> DataFrame:
     """norm and vector by a sentence model (model.onnx and tokenizer.json in ``folder``): mean over tokens, length 1.  One session a task."""
 

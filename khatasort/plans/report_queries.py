@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import cascade, profile, scoring
+from ..operators import cascade, ngram_model, profile, scoring, vote
 from ..sources.export import merchant_map as map_of
 from . import oracle
 from .cascade_queries import classified
@@ -137,8 +137,16 @@ def silent_errors(spark, sf_dir):
 
 
 def ablation(spark, sf_dir):
+    """The metrics of three configurations: the curated layers, those and the trained n-gram model, those and the vector vote.
+
+    The vote's vectors are hashed n-grams, as no weights of a sentence model are at hand; its index are the examples that the model learns from.
+    """
     rows = stmt(spark, sf_dir)
-    configs = {"native layers": {"fuzzy": False}, "+ fuzzy match": {"fuzzy": True}}
+    examples = ngram_model.training_set(cascade.classify_native(rows))
+    predict = ngram_model.model_layer(*ngram_model.fit(examples))
+    known = vote.index_rows(examples.select(F.col("text").alias("item"), "label"))
+    index = known.join(vote.embed_grams(known.select(F.col("item").alias("norm"))), F.col("item") == F.col("norm")).select("item", "label", "vector")
+    configs = {"curated layers": {}, "+ n-gram model": {"predict": predict}, "+ vector vote": {"predict": predict, "vote": vote.neighbour_layer(vote.embed_grams, index)}}
     return _rounded(scoring.ablation(lambda **layers: cascade.classify(rows, **layers), _labels(spark, sf_dir), configs))
 
 

@@ -169,6 +169,12 @@ def oracle_sql() -> dict:
         "merchant_keys": n + "select src, id, coalesce(nullif(norm, ''), nullif(canon, ''), raw) as key from named",
         "ngram_counts": n.rstrip() + f""", texts as (select distinct norm from named where norm <> ''), terms as (select norm, unnest(string_split(norm, ' ')) as w from texts), padded as (select norm, ' ' || w || ' ' as p from terms),
 grams as (select norm, 'w:' || w as gram from terms union all {grams}) select gram, count(*) as n from grams group by gram""",
+        "ngram_features": n.rstrip() + f""", texts as (select distinct norm from named where norm <> ''), terms as (select norm, unnest(string_split(norm, ' ')) as w from texts), padded as (select norm, ' ' || w || ' ' as p from terms),
+grams as (select norm, 'w:' || w as gram from terms union all {grams}),
+crc as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as bytes),
+hashed as (select gram, xor(list_reduce(list_concat([4294967295], list_transform(string_split(gram, ''), lambda x: unicode(x)::bigint)), lambda c, b: xor(c >> 8, bytes[xor(c, b) % 256 + 1])), 4294967295) % {fixed.FEATURES} as bucket from (select distinct gram from grams), crc),
+counted as (select norm, cast(bucket as int) as bucket, count(*) as count from grams join hashed using (gram) group by norm, bucket)
+select norm, bucket, count, round(count / sqrt(sum(count * count) over (partition by norm)), 9) as weight from counted""",
         "coerce_categories": f"with r as (select o_orderkey, ['Food', ' food-and dining ', 'groceries', 'EDU', 'nothing', 'Personal Transfer', ''][o_orderkey % 7 + 1] as raw from orders) select o_orderkey, {oracle.coerce('raw')} as category, list_contains({oracle.strings(fixed.CATEGORIES)}, raw) as is_valid from r",
         "parse_amount": f"with r as (select o_orderkey, ['1,' || {amount}, 'Rs ' || {amount}, '-' || {amount}, {amount} || ' Dr', 'none', 'Rs.500', '(500)'][o_orderkey % 7 + 1] as s from orders) select o_orderkey, try_cast(nullif(regexp_extract(replace(s, ',', ''), {q(fixed.NUMBER)}), '') as double) as amount from r",
         "parse_date": "select o_orderkey, case when o_orderkey % 9 = 8 then null when o_orderkey % 9 = 7 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') else strftime(o_orderdate, '%Y-%m-%d 00:00:00') end as parsed from orders",

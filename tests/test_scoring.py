@@ -1,6 +1,6 @@
 import pytest
 
-from khatasort.operators import scoring
+from khatasort.operators import cascade, scoring
 
 COLUMNS = "row_number int, key string, flow string, counterparty string, amount double, truth string, pred string, source string, review boolean, seen boolean"
 
@@ -36,3 +36,28 @@ def test_label_sheets(spark):
     assert {(r.key, r.flow): r.truth for r in scoring.read_labels(filled).collect()} == {("a", "OUT"): "HEALTH", ("c", "IN"): "OTHER"}
     with pytest.raises(scoring.LabelError, match="line 9"):
         scoring.read_labels(filled.union(spark.createDataFrame([(9, "d", "OUT", "grocerys")], filled.schema)))
+
+
+def test_ablation_scores_three_configurations(spark):
+    from khatasort.plans import registry, report_queries
+    from khatasort.plans.statement import stmt
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.config: r for r in registry.queries()["ablation"](spark, folder).collect()}
+    assert list(sorted(got)) == ["+ n-gram model", "+ vector vote", "curated layers"]
+    # the curated layers again, transaction by transaction
+    rows = scoring.labelled(cascade.classify(stmt(spark, folder)), report_queries._labels(spark, folder)).collect()
+    first = got["curated layers"]
+    assert first.rows == len(rows) and len({r.rows for r in got.values()}) == 1
+    assert abs(first.accuracy - sum(r.pred == r.truth for r in rows) / len(rows)) < 1e-9
+    assert first.silent_errors == sum(r.pred != r.truth and not r.review for r in rows)
+    assert abs(first.coverage - sum(not r.review for r in rows) / len(rows)) < 1e-9
+
+
+def test_embedding_by_grams(spark):
+    from khatasort.operators import vote
+
+    rows = {r.norm: r.vector for r in vote.embed_grams(spark.createDataFrame([("sun kirana",), ("sun kirana store",), ("zzq",), ("",)], "norm string")).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(rows[a], rows[b], strict=True))
+    assert abs(dot("zzq", "zzq") - 1) < 1e-9 and dot("", "zzq") == 0
+    assert dot("sun kirana", "sun kirana store") > 0.5 > dot("sun kirana", "zzq")
