@@ -147,6 +147,13 @@ class Tree:
         self.top_size = int(count[0])
 
 
+def _aligned(size: int) -> np.ndarray:
+    """Zeros for vectors that each lie in one line of the processor's cache."""
+    raw = np.zeros(size * WIDTH * 4 + 64, dtype=np.uint8)
+    skip = -raw.ctypes.data % 64
+    return raw[skip : skip + size * WIDTH * 4].view(np.float32).reshape(size, WIDTH)
+
+
 class Network:
     """The parameters of the log-bilinear model: a context vector for each item, and a target vector with a bias for each edge of the items' tree."""
 
@@ -154,13 +161,21 @@ class Network:
         rng = np.random.default_rng(seed)
         self.tree = tree or Tree(shares)
         self.items = len(shares)
-        #: Items' context vectors (last column unused), then edges' target vectors and biases.
-        self.rows = rng.normal(0, 0.1, (self.items + len(self.tree.start), WIDTH + 1)).astype(np.float32)
-        self.rows[: self.items, WIDTH] = 0
-        self.rows[self.items :, WIDTH] = np.log(self.tree.share)
+        #: Items' context vectors, then edges' target vectors; the biases of the same rows (items have none).
+        self.rows = _aligned(self.items + len(self.tree.start))
+        self.rows[:] = rng.normal(0, 0.1, self.rows.shape)
+        self.bias = np.concatenate([np.zeros(self.items), np.log(self.tree.share)]).astype(np.float32)
         self.m = np.stack([np.eye(WIDTH, dtype=np.float32)] * 2)
 
-    NAMES = ("rows", "m")
+    NAMES = ("rows", "bias", "m")
+
+    def __getstate__(self):
+        return self.tree, self.items, np.ascontiguousarray(self.rows), self.bias, self.m
+
+    def __setstate__(self, state):
+        self.tree, self.items, rows, self.bias, self.m = state
+        self.rows = _aligned(len(rows))
+        self.rows[:] = rows
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -168,45 +183,34 @@ class Network:
     def fill(self, values: np.ndarray) -> Network:
         at = 0
         for k in self.NAMES:
-            old = getattr(self, k)
-            setattr(self, k, values[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
+            own = getattr(self, k)
+            own[...] = values[at : at + own.size].reshape(own.shape)
+            at += own.size
         return self
 
     def ahead(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The predicted vector, and 1 for the bias."""
-        out = np.ones((len(first), WIDTH + 1), dtype=np.float32)
-        out[:, :WIDTH] = self.rows[first, :WIDTH] @ self.m[0] + self.rows[second, :WIDTH] @ self.m[1]
-        return out
+        """The predicted vectors."""
+        return self.rows.take(first, axis=0) @ self.m[0] + self.rows.take(second, axis=0) @ self.m[1]
 
     def log_probabilities(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, block: int = 1 << 12) -> np.ndarray:
         """Natural logarithms of P(target | first, second): first is the word before the target, second the one before that."""
-        tree, edges = self.tree, self.rows[self.items :]
+        tree, edges, bias = self.tree, self.rows[self.items :], self.bias[self.items :]
         ahead = self.ahead(first, second)
-        top = tree.top[target]
-        out = np.einsum("ij,ij->i", ahead, edges[top])
+        top = tree.top.take(target)
+        out = np.einsum("ij,ij->i", ahead, edges.take(top, axis=0)) + bias.take(top)
         for i in range(0, len(out), block):
-            out[i : i + block] -= _log_sum(ahead[i : i + block] @ edges[: tree.top_size].T)
+            out[i : i + block] -= _log_sum(ahead[i : i + block] @ edges[: tree.top_size].T + bias[: tree.top_size])
         for column in tree.inner.T:
-            edge = column[target]
+            edge = column.take(target)
             held = np.flatnonzero(edge >= 0)
-            held = held[np.argsort(tree.start[edge[held]], kind="stable")]
-            edge, own = edge[held], ahead[held]
-            start, size = tree.start[edge], tree.size[edge]
-            score = np.einsum("ij,ij->i", own, edges[edge])
+            held = held[np.argsort(tree.start.take(edge.take(held)), kind="stable")]
+            edge, own = edge.take(held), ahead.take(held, axis=0)
+            start, size = tree.start.take(edge), tree.size.take(edge)
+            score = np.einsum("ij,ij->i", own, edges.take(edge, axis=0)) + bias.take(edge)
             cuts = np.flatnonzero(np.diff(start, prepend=-1, append=-1))
-            few = np.ones(len(edge), dtype=bool)
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if j - i >= 2:  # one product for a node's tokens
-                    few[i:j] = False
-                    score[i:j] -= _log_sum(own[i:j] @ edges[start[i] : start[i] + size[i]].T)
-            few = np.flatnonzero(few)
-            for i in range(0, len(few), 2048):
-                some = few[i : i + 2048]
-                children = np.arange(BRANCH)
-                scores = np.einsum("ij,ikj->ik", own[some], edges[np.minimum(start[some, None] + children, len(edges) - 1)], optimize=True)
-                scores[children >= size[some, None]] = -np.inf
-                score[some] -= _log_sum(scores)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # one product for a node's tokens
+                node = slice(start[i], start[i] + size[i])
+                score[i:j] -= _log_sum(own[i:j] @ edges[node].T + bias[node])
             out[held] += score
         return out
 
@@ -219,7 +223,7 @@ def _log_sum(scores: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad steps, at the root and at every node below it on a target's path.
+    """Noise-contrastive estimation by AdaGrad steps (a rate for each vector and one for its bias), at the root and at every node below it on a target's path.
 
     The root's noise is drawn from its children's shares and shared within a step; below, where shares differ little,
     each token has noise of its own, each child alike.
@@ -232,30 +236,32 @@ class Trainer:
         self.log_noise = (np.log(self.share) + math.log(NOISE)).astype(np.float32)  # of k times the noise distribution
         self.log_inner = np.log(INNER_NOISE / tree.size).astype(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.past = np.full_like(self.net.rows, ROW_PAST)
+        self.past = np.full(len(self.net.rows), ROW_PAST, dtype=np.float32)
+        self.past_bias = np.full_like(self.past, ROW_PAST)
         self.past_m = np.full_like(self.net.m, 1e-2)
         self.touched = np.zeros(len(self.net.rows), dtype=np.float32)
 
     def step(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> None:
         net, tree, n = self.net, self.net.tree, len(target)
-        rows, edges = net.rows, net.rows[net.items :]
+        rows, edges, bias = net.rows, net.rows[net.items :], net.bias[net.items :]
         noise = self.rng.choice(tree.top_size, NOISE, p=self.share)
-        r1, r2 = rows.take(first, axis=0)[:, :WIDTH], rows.take(second, axis=0)[:, :WIDTH]
-        ahead = np.ones((n, WIDTH + 1), dtype=np.float32)
-        ahead[:, :WIDTH] = r1 @ net.m[0] + r2 @ net.m[1]
+        r1, r2 = rows.take(first, axis=0), rows.take(second, axis=0)
+        ahead = r1 @ net.m[0] + r2 @ net.m[1]
         # the root: its children are few, so their gradients are sums by matrix products
         top = tree.top.take(target)
         q, q_noise = edges.take(top, axis=0), edges.take(noise, axis=0)
-        g_true = _missing(np.einsum("ij,ij->i", ahead, q) - self.log_noise.take(top))
-        g_false = _missing(self.log_noise.take(noise) - ahead @ q_noise.T)
+        g_true = _missing(np.einsum("ij,ij->i", ahead, q) + (bias.take(top) - self.log_noise.take(top)))
+        g_false = _missing((self.log_noise - bias[: tree.top_size]).take(noise) - ahead @ q_noise.T)
         g_ahead = g_true[:, None] * q - g_false @ q_noise
         pull = np.zeros((tree.top_size, n), dtype=np.float32)
         pull[top, np.arange(n)] = g_true
-        g_top = pull @ ahead
+        g_top, g_bias = pull @ ahead, pull.sum(axis=1)
         np.subtract.at(g_top, noise, g_false.T @ ahead)
-        met = np.bincount(np.concatenate([top, noise]), minlength=tree.top_size)
-        self._move(np.flatnonzero(met) + net.items, g_top[met > 0], met[met > 0])
-        ids, grads = [], []
+        np.subtract.at(g_bias, noise, g_false.sum(axis=0))
+        met = np.bincount(top, minlength=tree.top_size) + np.bincount(noise, minlength=tree.top_size)
+        own = np.flatnonzero(met)
+        self._move(own + net.items, g_top[own], g_bias[own], met[own])
+        ids, grads, pulls = [], [], []
         for column in tree.inner.T:
             edge = column.take(target)
             held = np.flatnonzero(edge >= 0)
@@ -265,40 +271,41 @@ class Trainer:
             start, size = tree.start.take(edge), tree.size.take(edge)
             log_noise = self.log_inner.take(edge)
             q = edges.take(edge, axis=0)
-            g_true = _missing(np.einsum("ij,ij->i", own, q) - log_noise)
+            g_true = _missing(np.einsum("ij,ij->i", own, q) + (bias.take(edge) - log_noise))
             back = g_true[:, None] * q
             ids.append(edge)
+            pulls.append(g_true)
             grads.append(g_true[:, None] * own)
             for chance in self.rng.random((INNER_NOISE, len(held)), dtype=np.float32):
                 wrong = start + np.minimum((chance * size).astype(np.intp), size - 1)
                 q = edges.take(wrong, axis=0)
-                g_false = _missing(log_noise - np.einsum("ij,ij->i", own, q))
-                back -= g_false[:, None] * q
+                g_false = -_missing(log_noise - bias.take(wrong) - np.einsum("ij,ij->i", own, q))
+                back += g_false[:, None] * q
                 ids.append(wrong)
-                grads.append(-g_false[:, None] * own)
+                pulls.append(g_false)
+                grads.append(g_false[:, None] * own)
             g_ahead[held] += back
-        g_ahead = g_ahead[:, :WIDTH]
-        g_context = np.zeros((2 * n, WIDTH + 1), dtype=np.float32)
-        g_context[:n, :WIDTH], g_context[n:, :WIDTH] = g_ahead @ net.m[0].T, g_ahead @ net.m[1].T
         where = np.concatenate([*(x + net.items for x in ids), first, second])
         order = np.argsort(where)
         where = where.take(order)
         starts = np.flatnonzero(np.diff(where, prepend=-1))
-        g = np.add.reduceat(np.concatenate([*grads, g_context]).take(order, axis=0), starts, axis=0)
-        self._move(where.take(starts), g, np.diff(starts, append=len(where)))
+        g = np.add.reduceat(np.concatenate([*grads, g_ahead @ net.m[0].T, g_ahead @ net.m[1].T]).take(order, axis=0), starts, axis=0)
+        g_bias = np.add.reduceat(np.concatenate([*pulls, np.zeros(2 * n, dtype=np.float32)]).take(order), starts)
+        self._move(where.take(starts), g, g_bias, np.diff(starts, append=len(where)))
         g = np.stack([r1.T @ g_ahead, r2.T @ g_ahead]) / n
         self.past_m += g * g
         net.m += RATE * g / np.sqrt(self.past_m)
 
-    def _move(self, own: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
-        """An AdaGrad step of some vectors."""
-        past = self.past.take(own, axis=0)
-        past += g * g
+    def _move(self, own: np.ndarray, g: np.ndarray, g_bias: np.ndarray, times: np.ndarray) -> None:
+        """An AdaGrad step of some vectors and their biases."""
+        past = self.past.take(own) + np.einsum("ij,ij->i", g, g) / WIDTH
         self.past[own] = past
-        np.sqrt(past, out=past)
-        g *= ROW_RATE
-        g /= past
+        rate = ROW_RATE / np.sqrt(past)
+        g *= rate[:, None]
         self.net.rows[own] += g
+        past = self.past_bias.take(own) + g_bias * g_bias
+        self.past_bias[own] = past
+        self.net.bias[own] += ROW_RATE * g_bias / np.sqrt(past)
         self.touched[own] += times
 
 
@@ -402,7 +409,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
                 parts = [(-1, np.arange(1), np.array([seen]), trainer.net.m)]
                 for part in range(0, len(trainer.touched), PART):
                     ids = np.flatnonzero(trainer.touched[part : part + PART]) + part
-                    parts.append((part // PART, ids, trainer.touched[ids], trainer.net.rows[ids]))
+                    parts.append((part // PART, ids, trainer.touched[ids], np.column_stack([trainer.net.rows[ids], trainer.net.bias[ids]])))
                 for part, ids, weights, vectors in parts:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int32), weights.astype(np.float32), vectors))], names
@@ -432,7 +439,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
             if r.part < 0:
                 net.m = vectors.reshape(net.m.shape).copy()
             else:
-                net.rows[np.frombuffer(r.ids, np.int32)] = vectors.reshape(-1, WIDTH + 1)
+                ids, vectors = np.frombuffer(r.ids, np.int32), vectors.reshape(-1, WIDTH + 1)
+                net.rows[ids], net.bias[ids] = vectors[:, :WIDTH], vectors[:, WIDTH]
         start.unpersist()
     return net
 

@@ -111,14 +111,14 @@ def test_scores_equal_a_slow_loop(spark):
     assert len(own) > 100 and len(net.tree.start) > net.tree.top_size
     rest = sum(n for w, n in table.items() if w not in own and w != lbl.END)
     kinds = sum(w not in own and w != lbl.END for w in table)
-    edges, m = net.rows[net.items :].astype(float), net.m.astype(float)
+    edges, bias, m = net.rows[net.items :].astype(float), net.bias[net.items :].astype(float), net.m.astype(float)
 
     def chance(first, second, target):
-        ahead = np.append(net.rows[first, :16] @ m[0] + net.rows[second, :16] @ m[1], 1.0)
+        ahead = net.rows[first] @ m[0] + net.rows[second] @ m[1]
         found = 0.0
         for edge in slow_path(net.tree, target):
             begin, size = int(net.tree.start[edge]), int(net.tree.size[edge])
-            scores = edges[begin : begin + size] @ ahead
+            scores = edges[begin : begin + size] @ ahead + bias[begin : begin + size]
             found += scores[edge - begin] - math.log(np.exp(scores).sum())
         return found / math.log(10)
 
