@@ -108,13 +108,14 @@ def cmd_reclassify(args) -> None:
 
 def cmd_train(args) -> None:
     overrides, learned, _ = _store(args).state()
-    rows = cascade.classify_native(read_statement(session(), args.statement).rows, None, learned)
-    examples = ngram_model.training_set(rows, overrides, learned).persist()
+    statement = read_statement(session(), args.statement).rows
+    examples = ngram_model.training_set(cascade.classify_native(statement, None, learned), overrides, learned).persist()
     model, labels = ngram_model.fit(examples)
     ngram_model.save(model, labels, args.out)
+    ngram_model.check_saved(model, labels, args.out, examples.select("text").orderBy("text").limit(200))
     if args.minilm:
         vote.write_index(examples, _embed(args.minilm), f"{args.minilm}/index")
-    report = {"examples": examples.count(), "labels": labels} | (ngram_model.cross_validated(examples).first().asDict() if args.cross_validate else {})
+    report = {"examples": examples.count(), "labels": labels} | ngram_model.training_report(statement, examples, ngram_model.model_layer(model, labels), learned) | (ngram_model.cross_validated(examples).first().asDict() if args.cross_validate else {})
     print(json.dumps(report))
 
 

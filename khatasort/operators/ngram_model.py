@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vocabulary
-from .cascade import classify_native
+from .cascade import VERDICT, classify, classify_native
 
 #: Origins from the weakest to the strongest.
 ORIGINS = ("rule", "built-in", "statement", "learned", "override")
@@ -109,6 +109,33 @@ def fallback_rows(rows: DataFrame, learned: DataFrame | None = None) -> DataFram
     return classify_native(rows.where(~F.col("is_credit")), None, learned).where("source = 'FALLBACK'")
 
 
+def resolved(rows: DataFrame, predict, learned: DataFrame | None = None) -> DataFrame:
+    """normalized_merchant, category, confidence and n of the open rows that the model answers within the cascade, with all its guards."""
+    found = classify(fallback_rows(rows, learned).drop(*VERDICT), None, learned, predict=predict)
+    return found.where("source = 'ML_MODEL'").groupBy("normalized_merchant").agg(F.max("category").alias("category"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+
+
+def training_report(rows: DataFrame, examples: DataFrame, predict, learned: DataFrame | None = None, samples: int = 25) -> dict:
+    """Examples by origin and label, the open rows asked again with the model, and its surest answers."""
+    counts = lambda c: {r[0]: r[1] for r in examples.groupBy(c).count().orderBy(c).collect()}
+    answers = resolved(rows, predict, learned).persist()
+    by_label = {r.category: r["n"] for r in answers.groupBy("category").agg(F.sum("n").alias("n")).orderBy("category").collect()}
+    best = answers.orderBy(F.desc("confidence"), "normalized_merchant").limit(samples).collect()
+    out = {"by_origin": counts("origin"), "by_label": counts("label"), "unresolved_rows": fallback_rows(rows, learned).count(), "resolved_rows": sum(by_label.values()), "resolved_by_label": by_label}
+    answers.unpersist()
+    return out | {"samples": [[r.normalized_merchant, r.category, r.confidence] for r in best]}
+
+
+def check_saved(model: LogisticRegressionModel, labels: list[str], folder: str, probe: DataFrame) -> None:
+    """Raise unless the saved model answers the probe (text) as the trained one does."""
+    first = predictions(model, labels, probe, "text").select("text", "prediction").toDF("text", "first")
+    other, other_labels = load(probe.sparkSession, folder)
+    second = predictions(other, other_labels, probe, "text").select("text", "prediction").toDF("again", "second")
+    wrong = first.join(second, F.col("text") == F.col("again")).where((F.col("first.category") != F.col("second.category")) | (F.abs(F.col("first.probability") - F.col("second.probability")) > 1e-6))
+    if not wrong.isEmpty():
+        raise RuntimeError("the saved model answers otherwise than the trained one")
+
+
 def save(model: LogisticRegressionModel, labels: list[str], folder: str) -> None:
     model.write().overwrite().save(f"{folder}/model")
     SparkSession.active().createDataFrame([(i, x, fixed.FEATURES) for i, x in enumerate(labels)], "place int, label string, features int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/labels")
