@@ -139,14 +139,21 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def formatted(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """A row a conversation: conv_id, n_turns, rendered, token_ids, loss_mask (1 for a token under the loss), loss_from and loss_to (the characters it has there), and the digests read back from them."""
+    """A row a conversation: conv_id, n_turns, rendered, token_ids, loss_mask (1 for a token under the loss), loss_from and loss_to (the characters it has there), and the digests read back from them.
+
+    tokenizer: a file that the driver or all machines can read; Spark sends it to the executors.
+    """
+    sc = rows.sparkSession.sparkContext
+    sc.addFile(tokenizer)
+    name = tokenizer.rstrip("/").rsplit("/", 1)[-1]
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer)
+        encoder = Tokenizer.from_file(SparkFiles.get(name))
         encoder.encode_special_tokens = True
         id_type = None
 

@@ -72,3 +72,27 @@ def test_nulls_repeats_empty_table(spark):
     assert first == again and len(first) == 5
     assert m.mixed(docs.limit(0)).collect() == []
     assert m.stream(docs.limit(0)).collect() == []
+
+
+def test_many_sources_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"host{i % 300:03d}.example", "x", 1) for i in range(900)] + [(-1, "long " * 2_000_000, "zz", "x", 1), (None, "a b c", "zz", "x", 1), (None, "d e", "zz", "x", 1)], DOCS)
+    rows = m.mixed(docs).collect()
+    names = sorted({r.source for r in rows})
+    sizes = {name: sum(r.size for r in rows if r.source == name) for name in names}
+    want = filled(sizes, {name: 1 + i % 3 for i, name in enumerate(names)})
+    assert sizes["zz"] == 2_000_005 and len(names) == 301
+    for name in names:
+        own = [r for r in rows if r.source == name]
+        assert all(abs(r.target - want[name]) < 1e-6 * max(1, want[name]) for r in own)
+        assert abs(sum(r.taken for r in own) - want[name]) <= 0.5001
+    assert all((r.first_position is None) == (r.taken == 0) for r in rows)
+
+
+def test_running_sums_equal_a_loop(spark):
+    rows = [(i * 37 % 101, i % 5) for i in range(400)]
+    got = m.running(spark.createDataFrame(rows, "a int, b int").repartition(7), [m.F.col("a"), m.F.col("b")], {"rank": "1", "below": "b"}).collect()
+    want, total = [], 0
+    for k, (a, b) in enumerate(sorted(rows)):
+        want.append((a, b, k, total))
+        total += b
+    assert sorted((r.a, r.b, r["rank"], r.below) for r in got) == sorted(want)

@@ -143,3 +143,8 @@ def test_kept_rows_equal_verdicts_and_pass_columns_on(spark):
     assert [k for _, k in got].count(True) == 1
     assert [tuple(x) for x in r.kept_rows(docs).collect()] == [(None, "the quick brown fox jumps over a lazy dog and runs away home", 2, "y")]
     assert r.judged(docs.limit(0)).collect() == [] and r.kept_rows(docs.limit(0)).collect() == []
+
+
+def test_very_long_texts():
+    text = " ".join(f"w{i}" for i in range(400_000)) + "\nw0 w1 w2 w3 w4"
+    assert r.features(text.encode())[:5] == (400_005, sum(len(f"w{i}") for i in range(400_000)) + 10, 0, 0, 10)

@@ -128,3 +128,8 @@ def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     found = {r.node: r.label for r in simhash.components(edges).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+def test_very_long_texts():
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)

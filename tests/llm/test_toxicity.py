@@ -174,3 +174,9 @@ def test_lexicon_learns_from_up_to_6000_labelled_texts(monkeypatch):
     monkeypatch.setattr(t, "labelled_sample", lambda *a: asked.append(a[-1]) or [])
     monkeypatch.setattr(t, "learn", lambda texts: texts)
     assert t.lexicon_of(None, None) == [] and asked == [6000]
+
+
+def test_very_long_texts():
+    lexicon = t.Lexicon(TERMS)
+    text = "plain words " * 300_000 + "stupid " + "plain words " * 300_000
+    assert lexicon.figures(text) == (5.0, 1_200_001)
