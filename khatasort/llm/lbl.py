@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,7 @@ TOGETHER = 500_000
 BRANCH = 64
 #: Words that are sent to all tasks at most, unless more are trained; words that a task counts before it hands them on.
 HEAD, COUNTED = 1 << 18, 300_000
-STEP, NOISE, RATE = 4096, 24, 0.3
+STEP, NOISE, RATE = 8192, 24, 0.3
 #: Below the root: noise words for a token.  Of the vectors: step size and where AdaGrad's sums of squares begin.
 INNER_NOISE, ROW_RATE, ROW_PAST = 2, 0.1, 0.3
 #: Vectors that a task returns in one row.
@@ -247,18 +248,20 @@ class Trainer:
         noise = self.rng.choice(tree.top_size, NOISE, p=self.share)
         r1, r2 = rows.take(first, axis=0), rows.take(second, axis=0)
         ahead = r1 @ net.m[0] + r2 @ net.m[1]
-        # the root: its children are few, so their gradients are sums by matrix products
+        # the root: its children are few
         top = tree.top.take(target)
         q, q_noise = edges.take(top, axis=0), edges.take(noise, axis=0)
         g_true = _missing(np.einsum("ij,ij->i", ahead, q) + (bias.take(top) - self.log_noise.take(top)))
         g_false = _missing((self.log_noise - bias[: tree.top_size]).take(noise) - ahead @ q_noise.T)
         g_ahead = g_true[:, None] * q - g_false @ q_noise
-        pull = np.zeros((tree.top_size, n), dtype=np.float32)
-        pull[top, np.arange(n)] = g_true
-        g_top, g_bias = pull @ ahead, pull.sum(axis=1)
+        order = np.argsort(top.astype(np.uint8), kind="stable")
+        kinds, begins = np.unique(top.take(order), return_index=True)
+        g_top, g_bias, met = np.zeros((tree.top_size, WIDTH), dtype=np.float32), np.zeros(tree.top_size, dtype=np.float32), np.bincount(noise, minlength=tree.top_size)
+        g_top[kinds] = np.add.reduceat((g_true[:, None] * ahead).take(order, axis=0), begins, axis=0)
+        g_bias[kinds] = np.add.reduceat(g_true.take(order), begins)
+        met[kinds] += np.diff(begins, append=n)
         np.subtract.at(g_top, noise, g_false.T @ ahead)
         np.subtract.at(g_bias, noise, g_false.sum(axis=0))
-        met = np.bincount(top, minlength=tree.top_size) + np.bincount(noise, minlength=tree.top_size)
         own = np.flatnonzero(met)
         self._move(own + net.items, g_top[own], g_bias[own], met[own])
         ids, grads, pulls = [], [], []
@@ -379,8 +382,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
         def run(batches, start=start, number=number):
             import pyarrow as pa
 
-            words, shares, tree = sent.value
-            class_of = {w: i + 2 for i, w in enumerate(words)}.get
+            trained, shares, tree = sent.value
+            class_of = {w: i + 2 for i, w in enumerate(trained)}.get
             trainer = None
             waiting: list[np.ndarray] = []
             held = seen = 0
@@ -396,9 +399,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Network:
                 for blob in blobs(batch.column(0)):
                     if trainer is None:
                         trainer = Trainer(start.value, shares, zlib.crc32(blob, number), tree)
-                    classes = [class_of(w, OTHER_CLASS) for w in words_of(blob)]
-                    classes.append(END_CLASS)
-                    waiting.append(np.array(classes, dtype=np.int32))
+                    words = words_of(blob)
+                    classes = np.empty(len(words) + 1, dtype=np.int32)
+                    classes[:-1] = np.fromiter(map(class_of, words, repeat(OTHER_CLASS)), np.int32, len(words))
+                    classes[-1] = END_CLASS
+                    waiting.append(classes)
                     held += len(classes)
                     if held >= 32 * STEP:
                         seen += learn()
@@ -509,7 +514,7 @@ def scored(docs: DataFrame, model: tuple[DataFrame, Vocabulary, Network] | None
             id_type = batch.column(0).type
             for doc_id, blob in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
                 words = words_of(blob)
-                waiting.append((doc_id, words, np.array([number(w, none) for w in words], dtype=np.int64)))
+                waiting.append((doc_id, words, np.fromiter(map(number, words, repeat(none)), np.int64, len(words))))
                 held += len(words) + 1
                 if held > TOGETHER:
                     yield out(waiting, key)
