@@ -62,11 +62,11 @@ def test_vectors_are_means_of_length_one(spark, folder):
 
 def test_the_cascade_votes_over_a_written_index(spark, folder, tmp_path):
     embed = lambda names: vote.embed_with_onnx(names, folder[0])
-    examples = spark.createDataFrame([("zzq store", "SHOPPING"), ("zzq blorp store", "SHOPPING"), ("zzq", "SHOPPING"), ("blorp", "SHOPPING"), ("metro", "TRANSPORT"), ("sun", "INCOME")], "text string, label string")
+    examples = spark.createDataFrame([("zzq store", "SHOPPING"), ("zzq blorp store", "SHOPPING"), ("zzq", "SHOPPING"), ("blorp", "SHOPPING"), ("sun", "INCOME")], "text string, label string")
     vote.write_index(examples, embed, str(tmp_path / "index"))
     index = vote.read_index(spark, str(tmp_path / "index"))
-    assert index.count() == 5  # income is no neighbour
-    rows = spark.createDataFrame([("Zzq Blorp Holdings 77", False, "Paid to")], "counterparty string, is_credit boolean, direction string")
+    assert index.count() == 4  # income is no neighbour
+    rows = spark.createDataFrame([("Zzq Blorp Store Zzq", False, "Paid to")], "counterparty string, is_credit boolean, direction string")
     got = cascade.classify(rows, fuzzy=False, vote=vote.neighbour_layer(embed, index)).first()
     assert (got.category, got.source, got.confidence) == ("SHOPPING", "SEMANTIC", 0.78) and got.evidence.startswith("minilm: nearest shop '")
     with pytest.raises(ValueError):
